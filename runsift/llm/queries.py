@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, token_counts, toxicity
+from . import hnsw, jaccard_join, packing, quality, token_counts, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,24 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "rated.expected_grade", F.col("rated.tails")[0].alias("p_good"), F.col("rated.tails")[1].alias("p_clean"), (F.col("rated.tails")[0] >= 0.5).alias("kept"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hnsw.nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
@@ -42,7 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op5_packing, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality, op3_nearest_neighbours, op5_packing, op7_jaccard_join, op8_exact_top_k, op9_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
