@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, jaccard_join, packing, quality, token_counts, topk, toxicity
+from . import hnsw, jaccard_join, packing, quality, token_counts, topk, toxicity, url_filter
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +28,49 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "rated.expected_grade", F.col("rated.tails")[0].alias("p_good"), F.col("rated.tails")[1].alias("p_clean"), (F.col("rated.tails")[0] >= 0.5).alias("kept"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled URLs are the pages whose page_id is a labelled doc_id; label 1 is toxic or of low quality."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("toxic").isNotNull() & F.col("quality").isNotNull(), 0)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("label"))
+    url = F.col("url")
+    labelled = pages.join(labels, "page_id").select(url_filter.tokens(url_filter.host_of(url), url_filter.path_of(url)).alias("tokens"), "label")
+    return url_filter.judge(pages, URL_RULES, url_filter.mine(labelled)).drop("url")
+
+
+OP2_SQL = """
+WITH parsed AS (
+  SELECT page_id, url, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hp AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parsed),
+fit AS (
+  SELECT hp.*, CASE
+    WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule FROM hp),
+tok AS (
+  SELECT DISTINCT page_id, host, path, unnest(list_concat(list_transform(string_split(host, '.'), lambda x: 'h:' || x),
+    list_transform(string_split(path, '/'), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '#', 'g')))) AS t FROM hp),
+tokens AS (SELECT * FROM tok WHERE length(t) > 2),
+labelled AS (
+  SELECT doc_id AS page_id, CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN toxic IS NOT NULL AND quality IS NOT NULL THEN 0 END AS label FROM labels
+  WHERE doc_id IN (SELECT page_id FROM tokens)),
+n AS (SELECT count(*) AS n FROM labelled WHERE label IS NOT NULL),
+sets AS (
+  SELECT a.page_id, [a.t] AS s FROM tokens a UNION ALL
+  SELECT a.page_id, [a.t, b.t] AS s FROM tokens a JOIN tokens b ON a.page_id = b.page_id AND a.t < b.t),
+rules AS (
+  SELECT s FROM sets JOIN labelled USING (page_id), n WHERE label IS NOT NULL GROUP BY s, n
+  HAVING sum(label) >= greatest(ceil(0.02 * n), 20) AND sum(label) >= 0.6 * count(*)),
+hit AS (SELECT DISTINCT page_id FROM sets WHERE s IN (SELECT s FROM rules))
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+       WHEN page_id IN (SELECT page_id FROM hit) THEN 'block' ELSE 'allow' END AS verdict
+FROM fit"""
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return hnsw.nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
@@ -56,8 +102,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op3_nearest_neighbours, op5_packing, op7_jaccard_join, op8_exact_top_k, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality, op2_url_filter, op3_nearest_neighbours, op5_packing, op7_jaccard_join, op8_exact_top_k, op9_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": OP2_SQL}
