@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, jaccard_join, packing, quality, token_counts, topk, toxicity, url_filter
+from . import hnsw, html_text, jaccard_join, packing, quality, token_counts, topk, toxicity, url_filter
 
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -76,6 +76,11 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -102,7 +107,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_url_filter, op3_nearest_neighbours, op5_packing, op7_jaccard_join, op8_exact_top_k, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality, op2_url_filter, op3_nearest_neighbours, op4_html_text, op5_packing, op7_jaccard_join, op8_exact_top_k, op9_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
