@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, html_text, jaccard_join, packing, quality, token_counts, topk, toxicity, url_filter
+from . import hnsw, html_text, jaccard_join, packing, quality, sentence_pieces, token_counts, topk, toxicity, url_filter
 
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -85,6 +85,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -107,7 +111,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_url_filter, op3_nearest_neighbours, op4_html_text, op5_packing, op7_jaccard_join, op8_exact_top_k, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality, op2_url_filter, op3_nearest_neighbours, op4_html_text, op5_packing, op6_sentence_pieces, op7_jaccard_join, op8_exact_top_k, op9_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
