@@ -21,14 +21,14 @@ TOXIC, GOOD = 0.5, 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs whose toxicity score is below TOXIC; the model learns from the labels of all documents."""
     model = toxicity.fit(queries.table(spark, sf_dir, "documents"), queries.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_score").where(F.col("_score") < TOXIC).select(docs.columns)
+    return docs.where(toxicity.probability(model, F.col("text")) < TOXIC)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs whose probability of a grade above the lowest is at least GOOD."""
     labels = queries.table(spark, sf_dir, "labels")
     model = quality.fit(queries.table(spark, sf_dir, "documents"), quality.grades(labels), 3)
-    return quality.rate(docs, model, out="_rated").where(F.col("_rated.tails")[0] >= GOOD).select(docs.columns)
+    return docs.where(quality.tail_probabilities(model, F.col("text"))[0] >= GOOD)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import collect_bags, sample
@@ -137,14 +137,19 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, rows: int = TRAIN_RO
     return train(bagged, targets, n_grades)
 
 
-def rate(docs: DataFrame, model: Model, text: str = "text", out: str = "rated") -> DataFrame:
-    """docs with a struct ``out``: expected_grade and tails (P(grade >= 1), P(grade >= 2), ...)."""
+def tail_probabilities(model: Model, text: Column) -> Column:
+    """array<double>: P(grade >= 1), P(grade >= 2), ..."""
 
     @F.pandas_udf("array<double>")
     def tails(texts: pd.Series) -> pd.Series:
         return pd.Series(list(model.tails(texts.tolist())))
 
-    got = docs.withColumn(out, tails(F.col(text)))
+    return tails(text)
+
+
+def rate(docs: DataFrame, model: Model, text: str = "text", out: str = "rated") -> DataFrame:
+    """docs with a struct ``out``: expected_grade and tails; a column of that name is replaced."""
+    got = docs.withColumn(out, tail_probabilities(model, F.col(text)))
     return got.withColumn(out, F.struct(F.aggregate(out, F.lit(0.0), lambda a, x: a + x).alias("expected_grade"), F.col(out).alias("tails")))
 
 

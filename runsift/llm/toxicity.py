@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import collect_bags, sample
@@ -31,7 +31,7 @@ SCALE = 40.0
 #: Weight decay of the embedding.
 L2 = 1e-4
 #: At most so many labelled documents are used for training, those with the smallest hash of doc_id.
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 5000
 #: Taken off a word's ends.
 STRIP = "\"'`.,;:!?()[]{}<>|*_-+=/\\~^&%$#@"
 
@@ -125,11 +125,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return train(bagged, (targets > 0).astype(int))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with a column ``out``: the probability of label 1, from the whole text alone."""
+def probability(model: Model, text: Column) -> Column:
+    """The probability of label 1, from the whole text alone."""
 
     @F.pandas_udf("double")
-    def probability(texts: pd.Series) -> pd.Series:
+    def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(texts.tolist()))
 
-    return docs.withColumn(out, probability(F.col(text)))
+    return scored(text)
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """docs with the probability of label 1 in column ``out``; a column of that name is replaced."""
+    return docs.withColumn(out, probability(model, F.col(text)))

@@ -74,12 +74,13 @@ def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_rows=MIN_ROWS, min_co
 
 
 def judge(urls: DataFrame, rules: list[tuple[str, str, str]], mined: DataFrame, url: str = "url") -> DataFrame:
-    """urls with host, path, rule and verdict ('allow' or 'block')."""
-    parsed = urls.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    parsed = parsed.withColumn("_listed", longest_rule(F.col("host"), F.col("path"), rules))
-    open_ = parsed.where("_listed is null").select("host", "path").distinct().withColumn("tokens", tokens(F.col("host"), F.col("path")))
+    """urls with host, path, rule and verdict ('allow' or 'block'); columns of these names are replaced."""
+    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
+    parsed = urls.select(F.struct(*kept).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    parsed = parsed.withColumn("listed", longest_rule(F.col("host"), F.col("path"), rules))
+    open_ = parsed.where("listed is null").select("host", "path").distinct().withColumn("tokens", tokens(F.col("host"), F.col("path")))
     looked_up = open_.withColumn("anchor", F.explode("tokens")).join(mined, "anchor")
     hit = looked_up.where(F.size(F.array_except("rule_tokens", "tokens")) == 0).select("host", "path").distinct()
-    out = parsed.join(hit.withColumn("_hit", F.lit(True)), ["host", "path"], "left")
-    verdict = F.coalesce("_listed.verdict", F.when(F.col("_hit"), "block").otherwise("allow"))
-    return out.withColumns({"rule": F.col("_listed.rule"), "verdict": verdict}).select(*urls.columns, "host", "path", "rule", "verdict")
+    out = parsed.join(hit.withColumn("hit", F.lit(True)), ["host", "path"], "left")
+    verdict = F.coalesce("listed.verdict", F.when(F.col("hit"), "block").otherwise("allow"))
+    return out.select("row.*", "host", "path", F.col("listed.rule").alias("rule"), verdict.alias("verdict"))
