@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import deque
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -32,39 +34,70 @@ from .token_counts import load
 SIZE, END_TOKEN = 4096, 2
 SENTENCE_CUT, WORD_CUT, STRIDE, LONG_STRETCH = 8.0, 32.0, 64, 256
 FLUSH_TOKENS = 3_000_000
-CACHE_LIMIT, LONG_PART = 300_000, 48
-ENDS = (".", "!", "?", ".\"", "!\"", "?\"")
+CACHE_LIMIT, LONG_PART = 500_000, 48
+ENDS = (".</w>", "!</w>", "?</w>")
 #: White space on which Python and the tokenizer's pattern may differ.
 RARE_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: Words with one undoubted normal form: ASCII and the accented letters of Latin-1; not those that may hold a special string.
+PLAIN = re.compile("[!-;=-~\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]{1,64}")
+#: Fixed value: the tokenizer's pattern.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others for the signs from U+0100 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+OTHERS = [b for b in range(256) if b not in PRINTABLE]
+BYTE_SIGNS = {b: chr(b) if b in PRINTABLE else chr(256 + OTHERS.index(b)) for b in range(256)}
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Words(dict):
+    """word -> its ids as little-endian unsigned 32-bit, found when first asked for; emptied at CACHE_LIMIT."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model, self.parts = tokenizer, tokenizer.model, {}
+
+    def part(self, letters: str) -> bytes:
+        """Ids of one part that the pattern cut out."""
+        signs = letters if letters.isascii() else "".join(BYTE_SIGNS[b] for b in letters.encode())
+        ids = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+        if len(self.parts) >= CACHE_LIMIT:
+            self.parts.clear()
+        self.parts[letters] = ids
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word):
+            known = self.parts.get
+            ids = b"".join([known(p) or self.part(p) for p in PATTERN.findall(word.lower())])
+        else:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(word) <= LONG_PART:
+            if len(self) >= CACHE_LIMIT:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
-    """Ids and sentence ends of texts under a tokenizer that drops white space between words."""
+    """Ids and sentence ends of texts under a tokenizer that drops white space between words.
+
+    Words of Latin letters, whose small letters and composed form are beyond doubt, are cut by the
+    tokenizer's own pattern and go to the library's merging model part by part; all others go
+    through the whole library.  A sentence ends after a token that ends a word with a mark of ENDS.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = load(path), {}
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
-        """For each text its ids as little-endian unsigned 32-bit, and the positions after its sentences."""
-        split = [t.split() if not RARE_SPACE.search(t) else re.split(r"[ \t\n\r\f\v]+", t) for t in texts]
-        new = {w for ws in split for w in ws if w not in self.known}
-        if len(self.known) + len(new) > CACHE_LIMIT:
-            self.known = {}
-            new = {w for ws in split for w in ws}
-        new = list(new)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes(), 2 * len(e.ids) + w.endswith(ENDS)
-        out = []
-        for ws in split:
-            got = [self.known[w] for w in ws]
-            code = np.fromiter([c for _, c in got], np.int64, len(got))
-            out.append((b"".join([b for b, _ in got]), np.cumsum(code >> 1)[(code & 1) == 1]))
-        if any(len(w) > LONG_PART for w in new):
-            self.known = {w: v for w, v in self.known.items() if len(w) <= LONG_PART}
-        return out
+        self.tokenizer = load(path)
+        self.words = Words(self.tokenizer)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(ENDS)]] = True
+
+    def encode(self, text: str) -> tuple[bytes, np.ndarray]:
+        """The text's ids as little-endian unsigned 32-bit, and the positions after its sentences."""
+        words = text.split() if not RARE_SPACE.search(text) else [w for w in re.split(r"[ \t\n\r\f\v]+", text) if w]
+        ids = b"".join(map(self.words.__getitem__, words))
+        return ids, np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1
 
 
 def cut_places(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,16 +204,13 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, text: str = "text", doc_i
     """
 
     def packed(batches):
-        from .wordbag import in_slices
-
         encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         stream = Stream(TaskContext.get().partitionId() << 32, size)
         for pdf in batches:
             ids = pdf.doc_id.tolist()
-            for start, part in in_slices(pdf.text.tolist()):
-                for k, (b, ends) in enumerate(encoder.encode(part), start):
-                    b += END_TOKEN.to_bytes(4, "little")
-                    stream.add(None if pd.isna(ids[k]) else int(ids[k]), b, ends)
+            for i, text in zip(ids, pdf.text):
+                tokens, ends = encoder.encode(text or "")
+                stream.add(None if pd.isna(i) else int(i), tokens + END_TOKEN.to_bytes(4, "little"), ends)
                 if stream.tokens >= FLUSH_TOKENS:
                     yield frame(stream.pieces(False))
         if stream.docs:
