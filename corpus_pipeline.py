@@ -32,7 +32,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id; documents without words or doc_id stay."""
+    """Of each class of near duplicates the document with the smallest doc_id, in as many rows as it has; documents without words or doc_id stay."""
     classes = jaccard_join.join(docs.select("doc_id", "text"))
     # Only the rows that go are looked up; ids of a class's first document are never among them.
     gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
