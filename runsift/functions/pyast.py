@@ -174,6 +174,15 @@ def protocol(code: str | None, name: str | None) -> tuple[list[str], list[str],
     return [], [], []
 
 
+def nested(code: str | None) -> str:
+    """Names, sorted, of the classes and functions that are defined inside functions."""
+    names: set[str] = set()
+    for f in ast.walk(tree_of(code) or ast.Module([], [])):
+        if isinstance(f, FUNCTIONS):
+            names |= {n.name for n in ast.walk(f) if n is not f and isinstance(n, (*FUNCTIONS, ast.ClassDef))}
+    return ", ".join(sorted(names))
+
+
 def wrapped(code: str | None) -> str:
     """A test that takes self gets a class around it; empty code a placeholder."""
     text = (code or "").strip()
@@ -239,6 +248,10 @@ def selector_of(code: Column) -> Column:
     return text_udf(selector)(code)
 
 
+def has_nested(code: Column) -> Column:
+    return text_udf(nested)(code) != ""
+
+
 def imports_of(code: Column) -> Column:
     return text_udf(imports)(code)
 

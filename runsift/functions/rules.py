@@ -286,3 +286,76 @@ def setup_command(repo: Column, version: Column) -> Column:
 def status_or(status: Column, word: str) -> Column:
     """The status, or a word for a null or empty one."""
     return F.when(truthy(status) == "", word).otherwise(status)
+
+
+ORACLE_AUDITS = ("broad_raises", "assert_true", "tautology", "raises_against_expected", "hasattr_against_expected")
+
+
+def buggy_only_decision(status: Column, audit: Column, check_missing: Column, log_missing: Column, code: Column) -> Column:
+    """struct(decision, focus) from a run on the buggy version alone, by rules.
+
+    audit: label of the candidate's audit, '' if sound; check_missing and log_missing: whether the issue
+    wants a check or a log that is not there yet.  A failure whose alignment no rule decides is to be repaired.
+    """
+    has = lambda *ws: has_any(F.coalesce(code, F.lit("")), ws)
+    says = lambda d, *f: F.struct(F.lit(d).alias("decision"), F.array(*map(F.lit, f)).alias("focus"))
+    failed = status == "ASSERTION_FAIL"
+    return first_match(
+        [
+            (status.isin("SETUP_ERROR", "SYNTAX_ERROR", "COLLECT_ERROR"), says("repair_setup", "setup")),
+            (audit.isin(*ORACLE_AUDITS), says("repair_oracle", "oracle")),
+            (audit != "", says("repair_trigger", "trigger")),
+            ((status == "PASS") & check_missing, says("repair_trigger", "trigger", "oracle")),
+            (status == "PASS", says("repair_trigger", "trigger")),
+            (failed & check_missing & has(".check(") & ~has("assertRaises", "pytest.raises"), says("accept", "trigger", "oracle")),
+            (failed & log_missing & has("assertLogs", "caplog"), says("accept", "trigger", "oracle")),
+            (failed, says("repair_oracle", "oracle")),
+            (status == "ISSUE_ALIGNED_FAIL", says("repair_trigger", "trigger")),
+            (status == "TIMEOUT", says("reject", "setup")),
+        ],
+        says("repair_trigger", "trigger", "oracle"),
+    )
+
+
+#: Words of an expected behaviour that is an exception.
+EXCEPTION_WORDS = ("抛出", "异常", "raise", "exception")
+
+
+def semantic_path_problem(audit: Column, text: Column, expected: Column, source: Column, code: Column) -> Column:
+    """Label of what keeps a candidate from the issue's path; '' if nothing does."""
+    low = F.lower(text)
+    like = lambda c, p: F.regexp_like(c, F.lit(p))
+    check = has_any(low, CHECK_WORDS) & has_any(low, CHECK_MISSING) & like(source, r"\bdef\s+check\s*\(")
+    log = missing_logging_target(text)
+    return first_match(
+        [
+            (audit != "", audit),
+            (check & ~like(code, r"\.\s*check\s*\("), "check_not_called"),
+            (check & ~has_any(F.lower(expected), EXCEPTION_WORDS) & like(code, r"(?:assertRaises|pytest\.raises)"), "check_in_raises"),
+            (log & like(code, r"(?:patch|patch\.object)\s*\([^)]*logger"), "logger_patched"),
+            (log & ~has_any(code, ("assertLogs", "caplog")), "log_not_observed"),
+        ],
+        "",
+    )
+
+
+def persistent_setup_failure(code: Column, log: Column, nested: Column) -> Column:
+    """Label of a setup failure that the code still brings about; '' if none is known.
+
+    nested: whether the code defines classes or functions inside functions (pyast.has_nested).
+    """
+    has = lambda c, w: F.contains(c, F.lit(w))
+    like = lambda c, p: F.regexp_like(c, F.lit(p))
+    symbol = F.regexp_extract(log, r"(?i)ImportError:\s+cannot import name\s+['\"]?([A-Za-z_][A-Za-z0-9_]*)", 1)
+    module = F.regexp_extract(log, r"(?i)ModuleNotFoundError:\s+No module named\s+['\"]([^'\"]+)", 1)
+    imported = F.regexp_like(code, F.concat(F.lit(r"(?m)^\s*from\s+\S+\s+import\s+[^\n]*\b"), symbol, F.lit(r"\b")))
+    return first_match(
+        [
+            (has(log, 'near "[]": syntax error') & has(code, "ArrayField") & ~like(code, r"\bmanaged\s*=\s*False\b"), "array_field_table"),
+            (has(log, "fetch_command") & has(log, "KeyError:") & like(code, r"execute_from_command_line|\.\s*run_manage\s*\("), "command_not_registered"),
+            (has(log, "<locals>") & nested, "local_definitions"),
+            ((symbol != "") & imported, "import_of_missing_name"),
+            ((module != "") & F.contains(code, module), "use_of_missing_module"),
+        ],
+        "",
+    )

@@ -103,7 +103,7 @@ def last_dotted(name: Column) -> Column:
 
 
 def guessed_test_name(code: Column) -> Column:
-    return F.regexp_extract(code, r"def\s+(test\w*)\s*\(", 1)
+    return F.regexp_extract(code, r"def\s+(test_[A-Za-z0-9_]+)\s*\(", 1)
 
 
 def code_context(items: Column, limit: int = 18_000) -> Column:
@@ -133,3 +133,32 @@ def percent(part: Column, whole: Column) -> Column:
 
 def backoff_seconds(attempt: Column, base: float = 15, cap: float = 180) -> Column:
     return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(cap))
+
+
+#: Kinds of oracle that generated code may name.
+ORACLE_KINDS = ("NO_EXCEPTION", "EXCEPTION_TYPE", "WARNING", "LOGGING", "EXACT_VALUE", "TYPE_OR_SHAPE", "STATE_CHANGE", "SQL_VALIDITY", "SERIALIZATION", "RENDER_OUTPUT", "ORDERING")
+
+
+def oracle_kind(code: Column) -> Column:
+    """The kind that the first mark in the code names; '' if there is none or it is not known."""
+    named = F.regexp_extract(code, r"BRT_ORACLE_TYPE:\s*([A-Z_]+)", 1)
+    return F.when(named.isin(*ORACLE_KINDS), named).otherwise("")
+
+
+def missing_dependency(log: Column) -> Column:
+    """Top-level name of the module that a log misses; '' if it misses none."""
+    module = F.regexp_extract(log, r"(?i)No module named ['\"]([^'\"]+)['\"]", 1)
+    package = F.regexp_extract(log, r"(?i)requires the ([A-Za-z0-9_.-]+) python package", 1)
+    return F.substring_index(truthy(module, package), ".", 1)
+
+
+def declared_requirement(lines: Column, hint: Column) -> Column:
+    """The first requirement line that has the hint's name in it, without digits at its end; '' if none has.
+
+    lines: the lines of all requirement files, in the order of the files.
+    """
+    same = lambda x: F.replace(F.lower(x), F.lit("_"), F.lit("-"))
+    token = F.regexp_replace(same(hint), r"\d+$", "")
+    usable = F.filter(F.transform(lines, strip), lambda x: (x != "") & ~F.regexp_like(x, F.lit(r"^(#|-|git\+|https?://)")))
+    found = F.filter(usable, lambda x: F.contains(same(x), token))
+    return F.when(token == "", "").otherwise(F.coalesce(F.try_element_at(found, F.lit(1)), F.lit("")))

@@ -196,3 +196,39 @@ def test_python_source(spark):
     assert pyast.protocol("def helper(): pass\ndef test_x(db): helper()", "test_x")[:2] == (["db"], ["helper"])
     row = df.limit(1).select(pyast.definitions_of(F.lit("@pytest.fixture\ndef db(): pass")).alias("d")).first().d
     assert row.fixtures == ["db"] and pyast.imports("import os\nx=1\nfrom a import b") == "import os\nfrom a import b"
+
+
+def test_requirements_and_oracles(spark):
+    assert one(spark, text.missing_dependency(F.lit("x No module named 'a.b' y"))) == "a" and one(spark, text.missing_dependency(F.lit("Requires the PyX python package"))) == "PyX"
+    lines = F.array(*map(F.lit, ["# yaml", "-r yaml", " PyYAML>=5 ", "yaml_x"]))
+    assert one(spark, text.declared_requirement(lines, F.lit("yaml2"))) == "PyYAML>=5" and one(spark, text.declared_requirement(lines, F.lit(""))) == ""
+    assert one(spark, text.oracle_kind(F.lit("# BRT_ORACLE_TYPE: LOGGING"))) == "LOGGING" and one(spark, text.oracle_kind(F.lit("BRT_ORACLE_TYPE: X"))) == ""
+
+
+@pytest.mark.parametrize(
+    "status, audit, check, log, code, want",
+    [
+        ("SETUP_ERROR", "tautology", False, False, "", ("repair_setup", ["setup"])),
+        ("PASS", "tautology", False, False, "", ("repair_oracle", ["oracle"])),
+        ("PASS", "not_one_test", False, False, "", ("repair_trigger", ["trigger"])),
+        ("PASS", "", True, False, "", ("repair_trigger", ["trigger", "oracle"])),
+        ("ASSERTION_FAIL", "", True, False, "x.check()", ("accept", ["trigger", "oracle"])),
+        ("ASSERTION_FAIL", "", True, False, "assertRaises x.check()", ("repair_oracle", ["oracle"])),
+        ("ASSERTION_FAIL", "", False, True, "caplog", ("accept", ["trigger", "oracle"])),
+        ("TIMEOUT", "", False, False, "", ("reject", ["setup"])),
+        ("UNRELATED_FAIL", "", False, False, "", ("repair_trigger", ["trigger", "oracle"])),
+    ],
+)
+def test_buggy_only(spark, status, audit, check, log, code, want):
+    assert tuple(one(spark, rules.buggy_only_decision(*map(F.lit, (status, audit, check, log, code))))) == want
+
+
+def test_paths_of_candidates(spark):
+    why = lambda t, e, s, c: one(spark, rules.semantic_path_problem(F.lit(""), *map(F.lit, (t, e, s, c))))
+    assert why("add check", "", "def check(self)", "x") == "check_not_called" and why("add check", "", "def check(self)", "pytest.raises a.check()") == "check_in_raises"
+    assert why("logger missing", "", "", "patch('m.logger')") == "logger_patched" and why("logger missing", "", "", "x") == "log_not_observed" and why("other", "", "", "x") == ""
+    fail = lambda c, l, n=False: one(spark, rules.persistent_setup_failure(F.lit(c), F.lit(l), F.lit(n)))
+    assert fail("from a import foo, bar", "ImportError: cannot import name 'bar'") == "import_of_missing_name" and fail("import a", "ImportError: cannot import name 'bar'") == ""
+    assert fail("x = 'ghost'", "ModuleNotFoundError: No module named 'ghost'") == "use_of_missing_module" and fail("", "<locals>", True) == "local_definitions"
+    assert fail("ArrayField", 'near "[]": syntax error') == "array_field_table" and fail("call.run_manage()", "fetch_command KeyError:") == "command_not_registered"
+    assert pyast.nested("def f():\n  class A: pass\n  def b(): pass") == "A, b"
