@@ -22,7 +22,10 @@ def sample(docs: DataFrame, graded: DataFrame, rows: int) -> DataFrame:
 
 
 def collect_bags(sampled: DataFrame, bags) -> tuple[np.ndarray, list]:
-    """Targets and sparse rows of the sample, in order of doc_id; the rows are made on the executors."""
+    """Targets and sparse rows of the sample, in order of doc_id; the rows are made on the executors.
+
+    Columns must be below 2^16; values come in half precision, so that the driver holds four bytes an entry.
+    """
 
     def make(batches):
         for pdf in batches:
@@ -31,11 +34,11 @@ def collect_bags(sampled: DataFrame, bags) -> tuple[np.ndarray, list]:
                 {
                     "doc_id": pdf.doc_id,
                     "target": pdf.target,
-                    "idx": [i.astype(np.int32).tobytes() for i, _ in got],
-                    "val": [v.astype(np.float32).tobytes() for _, v in got],
+                    "idx": [i.astype(np.uint16).tobytes() for i, _ in got],
+                    "val": [v.astype(np.float16).tobytes() for _, v in got],
                 }
             )
 
     found = sampled.mapInPandas(make, "doc_id bigint, " + BAG_SCHEMA).toPandas().sort_values("doc_id", kind="stable")
-    rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(found.idx, found.val)]
+    rows = [(np.frombuffer(i, np.uint16), np.frombuffer(v, np.float16)) for i, v in zip(found.idx, found.val)]
     return found.target.to_numpy(np.int64), rows
