@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
-Each shard of about SHARD_ROWS vectors is a graph of layers.  A vector's top layer is drawn
-from a geometric law by a hash of its id; vectors enter one after the other, each linked with
+Each shard of about SHARD_ROWS rows is a graph of layers over its distinct vectors; all ids of a
+vector are kept sorted beside it, and a vector that is found stands for all of them.  A vector's
+top layer is drawn from a geometric law by a hash of its smallest id; vectors enter one after the other, each linked with
 neighbours among the earlier ones of its layer that the diversity rule keeps (a candidate must
 be nearer to the new vector than to every neighbour kept before), and a full list is pruned by
 the same rule.  A shard being small, the candidates of an insertion are found exactly.  The graph
@@ -74,6 +75,15 @@ def build_layer(x: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
+def distinct(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, starts, distinct rows of x) for ascending ids: those of row g are ids[starts[g] : starts[g + 1]], ascending."""
+    x = x + 0.0  # makes -0.0 equal to 0.0 bit by bit
+    group, _ = pd.factorize(np.array([row.tobytes() for row in x], object))
+    order = np.argsort(group, kind="stable")
+    starts = np.searchsorted(group[order], np.arange(group.max() + 2))
+    return ids[order], starts, x[order[starts[:-1]]]
+
+
 def build(ids: np.ndarray, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Layers from the bottom: (members as rows of x, their neighbour array as positions within members)."""
     top, out = levels(ids), []
@@ -129,25 +139,26 @@ def search(layers: list, x: np.ndarray, q: np.ndarray, width: int) -> np.ndarray
 
 
 def index(vectors: DataFrame, rows: int = SHARD_ROWS) -> DataFrame:
-    """One row a shard of vectors(id, v, dim): ids, vectors and, layer by layer, members and flat neighbour arrays."""
+    """One row a shard of vectors(id, v, dim): ids, distinct vectors and, layer by layer, members and flat neighbour arrays."""
 
     def built(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        ids, x = pdf.id.to_numpy(np.int64), np.stack(pdf.v).astype(np.float64)
-        layers = build(ids, x)
+        ids, starts, x = distinct(pdf.id.to_numpy(np.int64), np.stack(pdf.v).astype(np.float64))
+        layers = build(ids[starts[:-1]], x)
         return pd.DataFrame(
             {
                 "dim": [pdf.dim.iloc[0]],
                 "shard": [pdf.shard.iloc[0]],
                 "shards": [pdf.shards.iloc[0]],
                 "ids": [ids.tobytes()],
+                "starts": [starts.astype(np.int64).tobytes()],
                 "vectors": [x.tobytes()],
                 "members": [[m.tobytes() for m, _ in layers]],
                 "neighbours": [[a.tobytes() for _, a in layers]],
             }
         )
 
-    schema = "dim int, shard int, shards int, ids binary, vectors binary, members array<binary>, neighbours array<binary>"
+    schema = "dim int, shard int, shards int, ids binary, starts binary, vectors binary, members array<binary>, neighbours array<binary>"
     return sharded(vectors, rows).groupBy("dim", "shard").applyInPandas(built, schema)
 
 
@@ -156,16 +167,21 @@ def nearest(table: DataFrame, queries: DataFrame, k: int, ef: int = EF) -> DataF
 
     def one(row, q_ids, q):
         ids = np.frombuffer(row.ids, np.int64)
-        x = np.frombuffer(row.vectors).reshape(len(ids), row.dim)
+        starts = np.frombuffer(row.starts, np.int64)
+        x = np.frombuffer(row.vectors).reshape(-1, row.dim)
         layers = [(np.frombuffer(m, np.int32), np.frombuffer(a, np.int32)) for m, a in zip(row.members, row.neighbours)]
         layers = [(m, a.reshape(len(m), -1)) for m, a in layers]
         got = search(layers, x, q, max(ef, k + 1))
         at, col = np.nonzero(got >= 0)
         found = got[at, col]
-        keep = ids[found] != q_ids[at]
-        at, found = at[keep], found[keep]
         exact = np.sqrt(((q[at] - x[found]) ** 2).sum(1))
-        out = pd.DataFrame({"query_id": q_ids[at], "vec_id": ids[found], "score": exact}).sort_values(["query_id", "score", "vec_id"])
+        # Of a vector's ids the k smallest besides the query's own can be among the k nearest.
+        most = k + int(np.unique(ids, return_counts=True)[1].max())
+        n = np.minimum(starts[found + 1] - starts[found], most)
+        hit = np.repeat(np.arange(len(found)), n)
+        vec = ids[starts[found[hit]] + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)]
+        out = pd.DataFrame({"query_id": q_ids[at[hit]], "vec_id": vec, "score": exact[hit]})
+        out = out[out.query_id != out.vec_id].sort_values(["query_id", "score", "vec_id"])
         return out.groupby("query_id").head(k)
 
     shards = cut_lineage(index(usable(table, True)))

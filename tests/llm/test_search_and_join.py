@@ -55,6 +55,27 @@ def test_hnsw_graph_of_equal_vectors_is_searched():
         assert (np.argmax(x[got[q][:10]], 1) == q).mean() >= 0.5 and len(set(got[q][got[q] >= 0])) == (got[q] >= 0).sum()
 
 
+def test_hnsw_recall_with_a_third_of_the_rows_equal(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(1500, 16)).astype(np.float32)
+    same = np.sort(r.permutation(1500)[:500])
+    x[same] = x[same[0]]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(int(same[0]), x[same[0]].tolist())] * 20
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    got = {}
+    for row in hnsw.nearest(df, df.where("vec_id % 15 = 0").union(df.where(F.col("vec_id") == int(same[0]))).distinct(), 10).collect():
+        got.setdefault(row.query_id, []).append((row.rank, row.vec_id))
+    hits = 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        exact = [int(ids[i]) for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        mine = [i for _, i in sorted(found)]
+        assert len(mine) == 10 and (q not in same or mine == exact)
+        hits += len(set(mine) & set(exact)) / len(set(exact))
+    assert len(got) >= 100 and hits / len(got) >= 0.9
+
+
 def test_topk_equals_brute_force(spark):
     df, rows = vectors(spark, 300)
     got = topk.top(df, df.where("vec_id % 20 = 0"), 5).collect()
