@@ -1,13 +1,13 @@
 """URL filter: association rules over URL tokens, and a list of host and path rules.
 
 Spark's FP-growth mines token sets that go with label 1 from labelled URLs; rules keep a minimum
-support, confidence and size.  A rule is filed under its rarest token (an inverted index), a URL
+support and confidence, whatever their size.  A rule is filed under its rarest token (an inverted index), a URL
 is looked up under each of its tokens, and a rule matches when the URL has all its tokens.  A URL
 that a listed rule fits is judged by the longest of them; all others by the mined rules.
 Only DataFrame functions run on the main path.
 
 Defined results: a null URL, or one without "://", has an empty host and path, no tokens, and
-is allowed; labels or URLs that are null teach nothing; no labelled URLs give no mined rules;
+is allowed; labels or URLs that are null teach nothing; fewer than MIN_ROWS labelled URLs give no mined rules;
 repeated rows give repeated results; columns other than the URL's are kept by judge.
 """
 
@@ -17,8 +17,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A rule needs this share of the labelled URLs and this many of them, this confidence and at most so many tokens.
-MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE, MAX_TOKENS = 0.02, 20, 0.6, 2
+#: A rule needs this many labelled URLs of label 1, however large the table is, and this confidence.
+MIN_ROWS, MIN_CONFIDENCE = 20, 0.6
 LABEL = "label:1"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,7 +54,7 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return out
 
 
-def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_rows=MIN_ROWS, min_confidence=MIN_CONFIDENCE, max_tokens=MAX_TOKENS) -> DataFrame:
+def mine(labelled: DataFrame, min_rows=MIN_ROWS, min_confidence=MIN_CONFIDENCE) -> DataFrame:
     """(rule_tokens, anchor, confidence, support) from labelled(tokens, label): token sets of which label 1 follows.
 
     anchor is the rule's rarest token among the labelled URLs, equal counts by name.
@@ -63,10 +63,10 @@ def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_rows=MIN_ROWS, min_co
     rows = labelled.where("tokens is not null and label is not null and size(tokens) > 0")
     baskets = rows.select(F.when(F.col("label") == 1, F.concat("tokens", F.array(F.lit(LABEL)))).otherwise(F.col("tokens")).alias("items"))
     n = baskets.count()
-    if not n:
+    if n < min_rows:
         return spark.createDataFrame([], "rule_tokens array<string>, anchor string, confidence double, support double")
-    model = FPGrowth(minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0] == LABEL).where(F.size("antecedent") <= max_tokens)
+    model = FPGrowth(minSupport=(min_rows - 0.5) / n, minConfidence=min_confidence).fit(baskets)
+    rules = model.associationRules.where(F.col("consequent")[0] == LABEL)
     rules = rules.select(F.sort_array("antecedent").alias("rule_tokens"), "confidence", "support")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq"))
     anchored = rules.withColumn("token", F.explode("rule_tokens")).join(single, "token")

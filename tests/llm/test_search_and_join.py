@@ -202,6 +202,20 @@ def test_mined_rules_block_combinations(spark):
     assert got == [(1, "block"), (2, "allow"), (3, "allow"), (4, "block"), (4, "block")]
 
 
+def test_mined_rules_of_any_size_and_of_rare_hosts(spark):
+    names = ["h:a", "h:b", "p:x"]
+    rows = [([t for k, t in enumerate(names) if m >> k & 1] + [f"p:{m}"], int(m == 7)) for m in range(1, 8) for _ in range(30)]
+    rows += [(["h:rare"], 1)] * 20 + [(["h:rarer"], 1)] * 19 + [([f"h:ok{i % 50}"], 0) for i in range(3000)]
+    mined = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, label int"))
+    sets, all_tokens = set(), ["h:a", "h:b", "p:x", "p:7", "h:rare", "h:rarer"]
+    for m in range(1, 1 << len(all_tokens)):
+        s = {t for k, t in enumerate(all_tokens) if m >> k & 1}
+        fits = [label for t, label in rows if s <= set(t)]
+        if sum(fits) >= 20 and sum(fits) >= 0.6 * len(fits):
+            sets.add(tuple(sorted(s)))
+    assert {tuple(r.rule_tokens) for r in mined.collect()} == sets and ("h:a", "h:b", "p:x") in sets and ("h:rare",) in sets
+
+
 # -- HTML
 
 
