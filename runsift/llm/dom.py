@@ -13,10 +13,18 @@ from dataclasses import dataclass, field
 
 # Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe textarea select title object audio video canvas noframes xmp".split())
+#: Elements whose content is no markup; nothing of it is kept, up to the end tag or the end of the page.
+RAW = frozenset("script style noscript iframe textarea title noframes xmp".split())
+#: Elements whose content is parsed and dropped.
+DROPPED = frozenset("template svg select object audio video canvas".split())
+MATHML = frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation annotation-xml".split()
+)
+#: HTML elements inside which SVG holds text of its own.
+SVG_TEXT = frozenset(["foreignobject", "desc", "title"])
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var button picture".split()
-)
+) | MATHML
 CLOSES_P = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -32,6 +40,7 @@ ENDS_OPEN = {
 }
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+END_TAG = {tag: re.compile(rf"</{tag}(?:[\s/>]|\Z)", re.I | re.A) for tag in RAW | DROPPED}
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -63,12 +72,18 @@ def attribute_words(attributes: str) -> tuple[str, ...]:
 
 
 def parse(source: str) -> Page:
-    """Nodes of a page; node 0 is the root.  Any text gives a page; unclosed and stray tags are settled as browsers mostly do."""
+    """Nodes of a page; node 0 is the root.  Any text gives a page; unclosed and stray tags are settled as browsers mostly do.
+
+    A dropped element ends at its end tag or with an element around it; one without an end tag, and
+    an svg outside its text elements, also at the next start of a block element.
+    """
     page = Page()
     stack = [(page.add(-1, "html"), "html")]
     block = [0]  # block elements that are open
     run: list[str] = []
-    linked, in_link, at, lower = 0, 0, 0, None
+    hidden: list[str] = []  # the dropped element that the parser is in, and those open in it
+    ends: dict[str, int] = {}  # tag -> place of its next end tag, as last looked up
+    linked, in_link, at, closed = 0, 0, 0, True
 
     def close_run() -> None:
         nonlocal linked
@@ -91,12 +106,19 @@ def parse(source: str) -> Page:
 
     def take(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not hidden:
             text = html.unescape(text) if "&" in text else text
             run.append(text)
             if in_link:
                 linked += len(text.strip())
 
+    def next_end(tag: str) -> int:
+        """Place of the tag's next end tag; the length of the source if there is none."""
+        if ends.get(tag, -1) < at:
+            m = END_TAG[tag].search(source, at)
+            ends[tag] = m.start() if m else len(source)
+        return ends[tag]
+
     while True:
         m = TOKEN.search(source, at)
         if not m:
@@ -108,21 +130,36 @@ def parse(source: str) -> Page:
         if not tag:
             continue
         tag = tag.lower()
+        alone = attributes.rstrip().endswith("/")
         if closing:
+            if tag in hidden:
+                while hidden.pop() != tag:
+                    pass
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][1] == tag:
+                    hidden.clear()
                     pop_to(depth)
                     break
                 if tag in INLINE and stack[depth][1] not in INLINE:
                     break
             continue
+        if tag in RAW and not alone and not ("svg" in hidden and next_end(tag) == len(source)):
+            at = source.find(">", next_end(tag)) + 1 or len(source)
+            continue
+        if hidden:
+            breaks = not closed or hidden[0] == "svg" and not SVG_TEXT.intersection(hidden)
+            if not (breaks and tag in CLOSES_P):
+                if not alone and tag not in VOID:
+                    hidden.append(tag)
+                continue
+            hidden.clear()
         if tag in RAW:
-            lower = lower or source.lower()
-            end = -1 if attributes.rstrip().endswith("/") else lower.find(f"</{tag}", at)
-            if end >= 0:
-                at = source.find(">", end) + 1 or len(source)
-            elif not attributes.rstrip().endswith("/"):
-                at = len(source)
+            continue
+        if tag in DROPPED:
+            if not alone:
+                hidden.append(tag)
+                closed = next_end(tag) < len(source)
             continue
         if tag in VOID:
             if tag == "br":

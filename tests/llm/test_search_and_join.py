@@ -226,6 +226,20 @@ def test_parser_settles_loose_markup():
         assert dom.parse(odd).parent[0] == -1
 
 
+def test_parser_loses_no_text_after_unclosed_elements():
+    texts = lambda source: [t for t in dom.parse(source).text if t]
+    for tag in ("svg", "select", "object", "video", "audio", "canvas", "template"):
+        assert texts(f"<p>a<{tag}><b>gone</b></{tag}>b<p>c") == ["ab", "c"]
+        assert texts(f"<div>a<{tag} x=1>gone</div><p>b</p>") == ["a", "b"]
+        assert texts(f"<div>a<{tag}>gone<p>b</p><p>c</p></div>") == ["a", "b", "c"]
+        assert texts(f"<div>a<{tag}>gone</div><p>b</p><{tag}><i>gone</{tag.upper()} >c") == ["a", "b", "c"]
+    assert texts("<div><video><p>gone</p><script>'</video>'</script></video>a</div>") == ["a"]
+    assert texts("<svg><title>gone<path/><g></svg>a<svg><foreignObject><div>gone</div></foreignObject></svg>b") == ["ab"]
+    assert texts("<p>a<math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p>") == ["ax=1 b"]
+    assert texts("<p>" + "\u0130" * 40 + "</p><script>1</script><p>article text</p><p>b</p>") == ["\u0130" * 40, "article text", "b"]
+    assert texts("<p>a</p><script>never<p>b") == ["a"]
+
+
 @pytest.fixture(scope="module")
 def model():
     return html_text.train(700)
