@@ -260,11 +260,10 @@ def leak_guard(spark, sf):
 def export_records(spark, sf):
     """The nested record of every id, flattened for comparison."""
     docs = table(spark, sf, "documents").withColumnRenamed("doc_id", "instance_id")
-    none = docs.where("false")
     text_of = lambda n: F.lit(None).cast("string").alias(n)
-    summaries = none.select("instance_id", text_of("status"), F.lit(0).alias("rounds_used"), F.lit(0).alias("returncode"), text_of("stdout"), text_of("stderr"), text_of("strict_failure_class"), text_of("error"))
+    summaries = docs.where("instance_id % 2 = 0").select("instance_id", text_of("status"), F.lit(0).alias("rounds_used"), F.lit(0).alias("returncode"), text_of("stdout"), text_of("stderr"), text_of("strict_failure_class"), text_of("error"))
     evaluations = table(spark, sf, "labels").select(F.col("doc_id").alias("instance_id"), outcome_of_labels().alias("status"), text_of("buggy_status"), text_of("fixed_status"))
-    rankings = none.select("instance_id", F.lit(0).alias("selected_attempt"), F.lit(0).alias("candidates"))
+    rankings = docs.where("instance_id % 3 = 0").select("instance_id", F.lit(0).alias("selected_attempt"), F.lit(0).alias("candidates"))
     tests = docs.select("instance_id", F.lit("t.py").alias("path"), F.col("text").alias("content"))
     record = joins.export_record(docs, summaries, evaluations, rankings, tests)
     return record.select("instance_id", F.coalesce("generated", F.lit(False)).alias("generated"), "evaluated", F.col("formal_evaluation.status").alias("formal_status"), "formal_evaluation.is_f2p_success", "formal_evaluation.failure_category")
@@ -290,8 +289,8 @@ def tail_excerpt(spark, sf):
 
 @query("SELECT doc_id, md5(array_to_string(list_slice(string_split(text, chr(10)), -3, -1), chr(10))) AS last_md5, len(string_split(text, chr(10))) AS n FROM documents WHERE text NOT LIKE '%' || chr(10) AND text <> ''")
 def last_lines(spark, sf):
-    docs = table(spark, sf, "documents").where(~F.col("text").endswith("\n") & (F.col("text") != ""))
-    return docs.select("doc_id", F.md5(text.last_lines(F.col("text"), 3)).alias("last_md5"), F.size(text.lines_of(F.col("text"))).cast("long").alias("n"))
+    """Every document; the SQL lists only those with text that does not end in a line feed."""
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.last_lines(F.col("text"), 3)).alias("last_md5"), F.size(text.lines_of(F.col("text"))).cast("long").alias("n"))
 
 
 @query("SELECT page_id, regexp_replace(url, '[^0-9A-Za-z_]+', '_', 'g') AS name FROM pages")
@@ -432,10 +431,10 @@ def safe_path_filter(spark, sf):
   page_id % 2 = 0 AS rebuild FROM pages WHERE {PATH_SQL} NOT LIKE '% b/%'"""
 )
 def changed_files(spark, sf):
+    """Every page; the SQL lists only those whose path has no ' b/', at the last of which the header is cut."""
     path = F.regexp_extract("url", "^[a-z]+://[^/]*/(.*)$", 1)
     patch = F.concat(F.lit("diff --git a/old/"), F.col("page_id").cast("string"), F.lit(".py b/"), path, F.lit("\n+++ b/src/x."), F.when(F.col("page_id") % 2 == 0, "pyx").otherwise("py"), F.lit("\n"))
-    pages = table(spark, sf, "pages").where(~F.contains(path, F.lit(" b/")))
-    return pages.select("page_id", paths.changed_files(patch).alias("files"), paths.directives(patch, F.lit("a/b")).alias("directives"), paths.needs_rebuild(patch).alias("rebuild"))
+    return table(spark, sf, "pages").select("page_id", paths.changed_files(patch).alias("files"), paths.directives(patch, F.lit("a/b")).alias("directives"), paths.needs_rebuild(patch).alias("rebuild"))
 
 
 @query("SELECT page_id, 'tests/test_brt_' || regexp_replace(url, '[^0-9A-Za-z_]+', '_', 'g') || '.py' AS plain, 'a/b/test_brt_' || regexp_replace(url, '[^0-9A-Za-z_]+', '_', 'g') || '.py' AS beside FROM pages")
