@@ -33,10 +33,11 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest doc_id, in as many rows as it has; documents without words or doc_id stay."""
-    classes = jaccard_join.join(docs.select("doc_id", "text"))
-    # Only the rows that go are looked up; ids of a class's first document are never among them.
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    key = F.md5("text")
+    classes = jaccard_join.join_rows(docs.select("doc_id", "text"), key)
+    # Only the rows that go are looked up, by text too, since a doc_id may have several; ids of a class's first document are never among them.
+    gone = classes.where("doc_id <> class_id").select("doc_id", "row_key").distinct()
+    return docs.withColumn("row_key", key).join(gone, ["doc_id", "row_key"], "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ never leave them.
 Words are lower-cased and split at white space; a text of 1 to n - 1 words is one n-gram.
 Defined results: a text that is null or has no words has no links and is its own class; rows
 with a null doc_id have a null class and no links, and take no part; rows that share a doc_id
-are counted one by one but form one node of the graph; extra columns are ignored; an empty
+are counted one by one and are linked each by its own text; extra columns are ignored; an empty
 table gives no rows.
 """
 
@@ -27,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, cut_lineage
@@ -147,7 +147,7 @@ def verified(sets_left: list, sets_right: list, i: np.ndarray, j: np.ndarray, th
 
 def tile_links(tile: pd.DataFrame) -> pd.DataFrame:
     """For each node of a tile: (a, b, links): b the smallest node it is linked with in this tile, links of a counted with multiplicity."""
-    tile = tile.drop_duplicates("node").sort_values("node")
+    tile = tile.drop_duplicates("node").sort_values("node")  # rows of a node have equal sets
     first = tile.block == tile.lo.iloc[0]
     same = bool(tile.lo.iloc[0] == tile.hi.iloc[0])
     left = tile[first]
@@ -176,8 +176,8 @@ def tile_links(tile: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"a": nodes, "b": nodes[root], "links": links})
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, set_key, bands): 128-bit key of a document's n-gram set and its band keys; documents without words have nulls."""
+def described(docs: DataFrame, row_key: Column) -> DataFrame:
+    """(doc_id, row_key, set_key, bands): 128-bit key of a document's n-gram set and its band keys; documents without words have nulls."""
 
     def describe(batches):
         for pdf in batches:
@@ -187,9 +187,10 @@ def described(docs: DataFrame) -> DataFrame:
                     grams = shingles(text)
                     keys.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
                     bands.append(band_keys(minhash(grams)) if len(grams) else None)
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "set_key": keys, "bands": bands})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "row_key": pdf.row_key, "set_key": keys, "bands": bands})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(describe, "doc_id long, set_key binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key.cast("string").alias("row_key"))
+    return rows.mapInPandas(describe, "doc_id long, row_key string, set_key binary, bands array<long>")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -208,10 +209,16 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_links) for every row of docs(doc_id, text)."""
-    seen = cut_lineage(described(docs))
+    return join_rows(docs, F.lit(None)).drop("row_key")
+
+
+def join_rows(docs: DataFrame, row_key: Column) -> DataFrame:
+    """(doc_id, row_key, class_id, n_links) for every row of docs(doc_id, text); row_key tells rows of one doc_id apart."""
+    seen = cut_lineage(described(docs, row_key))
     usable = seen.where("doc_id is not null and set_key is not null")
-    nodes = usable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("times"), F.first("bands").alias("bands"))
-    nodes = cut_lineage(nodes)
+    nodes = usable.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"), F.first("bands").alias("bands"))
+    # Different sets may have the same smallest doc_id, so nodes have numbers of their own, fixed by the checkpoint.
+    nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket", "low")
@@ -219,10 +226,10 @@ def join(docs: DataFrame) -> DataFrame:
     groups = components(stars)
 
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "root").join(nodes.select("node", "set_key", "times"), "node")
+    placed = groups.join(sizes, "root").join(nodes.select("node", "first", "set_key", "times"), "node")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
-    members = placed.join(measured(texts), (F.col("node") == F.col("doc_id")) & (F.col("set_key") == F.col("measured_key")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed.select(F.col("first").alias("doc_id")).distinct(), "doc_id")
+    members = placed.join(measured(texts), (F.col("first") == F.col("doc_id")) & (F.col("set_key") == F.col("measured_key")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tiles = (
         members.select("root", "blocks", "node", "times", "block", "signature", "grams", other)
@@ -239,11 +246,15 @@ def join(docs: DataFrame) -> DataFrame:
     split = components(linked.where("not whole").select("a", "b"))
     roots = linked.where("whole and a <> b").select(F.col("a").alias("node"), F.col("b").alias("root")).union(split)
     counts = linked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    known = nodes.join(counts, "node", "left").join(roots, "node", "left").select(
-        "set_key", F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links")
+    roots = roots.union(roots.select("root", "root")).distinct()
+    least = roots.join(nodes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("least"))
+    classes = roots.join(least, "root").select("node", "least")
+    known = nodes.join(counts, "node", "left").join(classes, "node", "left").select(
+        "set_key", F.coalesce("least", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links")
     )
     return seen.join(known, "set_key", "left").select(
         "doc_id",
+        "row_key",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
     )

@@ -149,6 +149,20 @@ def test_join_equals_all_pairs(spark, monkeypatch, block):
     assert got == plain_join([*rows, (None, texts[0])])
 
 
+def test_join_and_pipeline_stage_of_repeated_ids_with_other_texts(spark):
+    import corpus_pipeline
+
+    base = [[f"v{k}x{j}" for j in range(80)] for k in range(4)]
+    near = lambda b, k: " ".join(["new%d" % k] + b[1:])
+    rows = [(5, " ".join(base[0])), (5, " ".join(base[1])), (5, near(base[0], 1)), (7, near(base[0], 2)), (8, near(base[1], 3)), (3, near(base[2], 4))]
+    rows += [(9, " ".join(base[2])), (9, " ".join(base[3])), (10, near(base[3], 5)), (None, " ".join(base[3])), (11, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.join(df).collect()), key=str)
+    assert got == plain_join(rows)
+    left = corpus_pipeline.keep_one_of_each_group(spark, df, "")
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([r for i, r in enumerate(rows) if i not in (3, 4, 6, 8)], key=str) and left.columns == df.columns
+
+
 def test_join_of_nothing(spark):
     assert jaccard_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
