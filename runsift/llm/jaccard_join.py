@@ -36,7 +36,7 @@ from .wordbag import in_slices, mixed
 
 WORDS, THRESHOLD = 5, (4, 5)
 BANDS, ROWS = 32, 6
-STEP, TOLERANCE = 16, 1e-4
+STEP, TOLERANCE = 16, 1e-6
 BLOCK = 128
 WORD_LIMIT = 400_000
 #: From so many pairs on, a tile verifies by a matrix product instead of pair by pair.

@@ -177,6 +177,19 @@ def test_pruning_keeps_similar_pairs():
     assert list(zip(i, j)) == [(0, 1)]
 
 
+def test_pruning_and_bands_together_lose_few_pairs_at_the_threshold():
+    from math import comb
+
+    p = {0: 1.0}
+    for need in jaccard_join.least_matches((4, 5), jaccard_join.STEP, 192, jaccard_join.TOLERANCE):
+        q = {}
+        for m, w in p.items():
+            for k in range(17):
+                q[m + k] = q.get(m + k, 0) + w * comb(16, k) * 0.8**k * 0.2 ** (16 - k)
+        p = {m: w for m, w in q.items() if m >= need}
+    assert 1 - sum(p.values()) + (1 - 0.8**6) ** 32 < 1e-4
+
+
 @pytest.mark.parametrize("many", [1, 10_000])
 def test_both_ways_of_verifying_agree(monkeypatch, many):
     monkeypatch.setattr(jaccard_join, "MANY_PAIRS", many)
