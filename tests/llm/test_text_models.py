@@ -1,6 +1,7 @@
 """Toxicity, quality, token counts, packing and SentencePiece against plain versions."""
 
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -149,6 +150,50 @@ def test_shortest_path_equals_the_library(machine):
         assert machine.decode(ids) == sp.decode(sp.encode(t)), t
 
 
+def test_runs_of_white_space_and_long_parts_equal_the_library(machine):
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    tails = ["", "the", "if x", "日", "\n", "\x00", "t", "▁", "1"]
+    texts = ["x" + " " * k + R.choice(tails) + " " * R.randint(0, 9) + R.choice(tails) for k in range(70) for _ in range(4)]
+    texts += [" " * 3000, "ab" * 3000, "日本語のテキスト" * 300, "=" * 2500, "".join(R.choice("etaoinshrdlu.,") for _ in range(5000))]
+    for t in texts:
+        assert np.frombuffer(machine.encode(t), "<u4").tolist() == sp.encode(t), t[:80]
+
+
+def message(*fields):
+    """A protocol buffer message of (number, value) fields: ints, floats, bytes."""
+    number = lambda n: bytes([n & 127 | 128]) + number(n >> 7) if n > 127 else bytes([n])
+    out = b""
+    for k, v in fields:
+        if isinstance(v, bytes):
+            out += number(k << 3 | 2) + number(len(v)) + v
+        else:
+            out += number(k << 3 | 5) + struct.pack("<f", v) if isinstance(v, float) else number(k << 3) + number(v)
+    return out
+
+
+def small_model(path, pieces, kind, normaliser):
+    special = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    rows = [message((1, p.encode()), (2, s), (3, k)) for p, s, k in special + pieces]
+    path.write_bytes(message(*((1, r) for r in rows), (2, message((3, kind))), (3, normaliser)))
+    return str(path)
+
+
+def test_normaliser_and_unigram_equal_the_library(tmp_path):
+    spm = pytest.importorskip("sentencepiece")
+    rules = dict(sentence_pieces.fields(spm.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[3]
+    words = ["▁", "a", "b", "ab", "▁a", "ba", "▁ab", "k", "g", "kg", "f", "i", "fi", "é", "▁▁", "."]
+    pieces = [(w, -1.5 - 0.37 * i, 1) for i, w in enumerate(words)]
+    odd = ["", " ", "  ", "ｆｕｌｌ  ﬁ", " ab  ab ", "e\u0301", "㎏ ab", "\u200b", "ア\u3099 ab", "日本 ab", "a\tb\nb", "abab" * 30, "\u00a0ab", "ﷺ"]
+    odd += ["".join(R.choice("abkgfi .é㎏ﬁ日\u3000") for _ in range(R.randint(1, 30))) for _ in range(300)]
+    for squeeze in (0, 1):
+        spec = message((2, dict(sentence_pieces.fields(rules))[2]), (3, 1), (4, squeeze), (5, 1))
+        path = small_model(tmp_path / f"m{squeeze}", pieces, 1, spec)
+        sp, made = spm.SentencePieceProcessor(model_file=path), sentence_pieces.Transducer(path)
+        for t in odd:
+            assert made.normaliser(t) == sp.normalize(t), t
+            assert np.frombuffer(made.encode(t), "<u4").tolist() == sp.encode(t), t
+
+
 def test_encode_decode_columns(spark):
     path = P.path("piece_bpe_32k.model")
     coded = sentence_pieces.encode(docs_of(spark, ["a b", None, "", "a b"]), path, out="code")
