@@ -44,7 +44,7 @@ def shape(chunk: str) -> str:
     """'Hello,' -> 'Aa,'; 'OF!!' -> 'A!!'; letters that are neither Latin-1 small nor decided otherwise count as capitals."""
     for pattern, sign in SHAPES:
         chunk = pattern.sub(sign, chunk)
-    return chunk[:12]
+    return chunk
 
 
 def columns(chunks: list[str]):
