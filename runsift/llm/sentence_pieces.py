@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .wordbag import Remembered
+
 META = "▁"
 CACHE_LIMIT, LONG_PART = 400_000, 48
 PAIR_LIMIT = 2_000_000
@@ -126,31 +128,6 @@ def character_map(data: bytes) -> dict[str, str]:
     return found
 
 
-class Parts(dict):
-    """part -> its ids as little-endian unsigned 32-bit, found when first asked for.
-
-    At CACHE_LIMIT parts the table becomes the older one and a new one begins; what is met again moves over.
-    """
-
-    def __init__(self, solve):
-        super().__init__()
-        self.solve, self.older = solve, {}
-
-    def found(self, part: str) -> bytes:
-        return np.array(self.solve(part), "<u4").tobytes()
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.older.get(part)
-        if ids is None:
-            ids = self.found(part)
-        if len(part) <= LONG_PART:
-            if len(self) >= CACHE_LIMIT:
-                self.older = dict(self)
-                self.clear()
-            self[part] = ids
-        return ids
-
-
 class Transducer:
     def __init__(self, path: str):
         pieces, normal, trainer = [], {}, {}
@@ -195,7 +172,8 @@ class Transducer:
         for p in self.matches:
             for k in range(1, len(p)):
                 self.prefixes.setdefault(p[:k], -1)
-        self.known = Parts(self.merging_path if self.kind == BPE else self.cheapest_path)
+        self.path = self.merging_path if self.kind == BPE else self.cheapest_path
+        self.known = Remembered(self.found, CACHE_LIMIT, LONG_PART)
 
     # -- merging by rank: compiles the pair acceptor
 
@@ -358,13 +336,16 @@ class Transducer:
             n = i
         return [x for ids in reversed(out) for x in ids]
 
+    def found(self, part: str) -> bytes:
+        return np.array(self.path(part), "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit."""
         text = self.normaliser(text)
         if not text:
             return b""
         if not self.splits or text[0] != META:
-            return self.known.found(text)
+            return self.found(text)
         return b"".join(map(self.known.__getitem__, PART.findall(text)))
 
     def decode(self, ids: bytes) -> str:

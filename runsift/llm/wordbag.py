@@ -32,6 +32,28 @@ class ChunkValues:
         return self.known
 
 
+class Remembered(dict):
+    """key -> solve(key), found when first asked for; keys of more than ``longest`` characters are not kept.
+
+    At ``limit`` keys the table becomes the older one and a new one begins; what is met again moves over.
+    """
+
+    def __init__(self, solve, limit: int, longest: int):
+        super().__init__()
+        self.solve, self.limit, self.longest, self.older = solve, limit, longest, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.solve(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * MIX
     return h ^ (h >> np.uint64(29))

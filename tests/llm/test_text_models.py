@@ -30,7 +30,7 @@ def docs_of(spark, texts):
 
 @pytest.fixture(scope="module")
 def counter():
-    return token_counts.Counter(P.path("byte_bpe_50k.json"), window=300, overlap=8)
+    return token_counts.Counter(P.path("byte_bpe_50k.json"), window=600, overlap=64)
 
 
 def test_counts_equal_the_library_for_short_and_spliced_texts(counter):
@@ -39,6 +39,26 @@ def test_counts_equal_the_library_for_short_and_spliced_texts(counter):
     assert counter.counts(texts) == want
 
 
+def test_spliced_counts_equal_the_library_on_texts_of_every_kind(counter):
+    alphabets = ["日本語テキスト", "ab", "a", "!?.,'s", " ", "\n \t", "🙂é", "0123456789", "etaoin shrdlu", "don't we'll ", "<|endoftext|>", "ab<|endoftext|>日 "]
+    texts = ["".join(R.choice(a) for _ in range(R.randint(601, 6000))) for a in alphabets for _ in range(6)]
+    texts += ["<|endoftext|>" * 300, "x<|endoftext|>" * 200, "ab" * 2000, "aaab" * 900, " a" * 1500, "日" * 4000, "the" * 1300, "!'" * 1500]
+    texts += ["".join(R.choice(alphabets) * R.randint(1, 80) for _ in range(60)) for _ in range(40)]
+    for t in texts:
+        assert counter.spliced(t) == len(counter.tokenizer.encode(t, add_special_tokens=False).ids), t[:60]
+
+
+def test_work_on_huge_documents_is_in_proportion_to_their_length(monkeypatch):
+    c, seen = token_counts.Counter(P.path("byte_bpe_50k.json"), window=4000, overlap=256), []
+    tokens = c.tokens
+    monkeypatch.setattr(c, "tokens", lambda text, a, b: seen.append(b - a) or tokens(text, a, b))
+    for letters in ("日本語のテキスト。", "日本語のテキスト", "abcdefgh", "a", "a b"):
+        for n in (40_000, 80_000):
+            seen.clear()
+            c.spliced("".join(R.choice(letters) for _ in range(n)))
+            assert sum(seen) <= 1.3 * n, letters
+
+
 def test_stable_parts_join_to_the_text():
     for t in ODD + [random_text(40)]:
         assert "".join(token_counts.stable_parts(t)) == t
