@@ -29,75 +29,58 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .token_counts import load
+from .token_counts import BYTE_SIGNS, load
+from .wordbag import Remembered
 
 SIZE, END_TOKEN = 4096, 2
 SENTENCE_CUT, WORD_CUT, STRIDE, LONG_STRETCH = 8.0, 32.0, 64, 256
 FLUSH_TOKENS = 3_000_000
 CACHE_LIMIT, LONG_PART = 500_000, 48
-ENDS = (".</w>", "!</w>", "?</w>")
+#: A word that ends a sentence; the flag that its last id bears until its place is read.
+SENTENCE_END, ENDS_HERE = re.compile("[.!?][\"'\xbb\u201d\u2019)\\]]*\\Z"), 1 << 31
 #: White space on which Python and the tokenizer's pattern may differ.
 RARE_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: Words with one undoubted normal form: ASCII and the accented letters of Latin-1; not those that may hold a special string.
 PLAIN = re.compile("[!-;=-~\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]{1,64}")
 #: Fixed value: the tokenizer's pattern.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others for the signs from U+0100 on.
-PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-OTHERS = [b for b in range(256) if b not in PRINTABLE]
-BYTE_SIGNS = {b: chr(b) if b in PRINTABLE else chr(256 + OTHERS.index(b)) for b in range(256)}
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Words(dict):
-    """word -> its ids as little-endian unsigned 32-bit, found when first asked for; emptied at CACHE_LIMIT."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.model, self.parts = tokenizer, tokenizer.model, {}
-
-    def part(self, letters: str) -> bytes:
-        """Ids of one part that the pattern cut out."""
-        signs = letters if letters.isascii() else "".join(BYTE_SIGNS[b] for b in letters.encode())
-        ids = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
-        if len(self.parts) >= CACHE_LIMIT:
-            self.parts.clear()
-        self.parts[letters] = ids
-        return ids
-
-    def __missing__(self, word: str) -> bytes:
-        if PLAIN.fullmatch(word):
-            known = self.parts.get
-            ids = b"".join([known(p) or self.part(p) for p in PATTERN.findall(word.lower())])
-        else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(word) <= LONG_PART:
-            if len(self) >= CACHE_LIMIT:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class Encoder:
     """Ids and sentence ends of texts under a tokenizer that drops white space between words.
 
     Words of Latin letters, whose small letters and composed form are beyond doubt, are cut by the
     tokenizer's own pattern and go to the library's merging model part by part; all others go
-    through the whole library.  A sentence ends after a token that ends a word with a mark of ENDS.
+    through the whole library.  A sentence ends after a word that ends with a full stop, exclamation
+    mark or question mark, closing quotes and brackets behind it included.
     """
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.words = Words(self.tokenizer)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith(ENDS)]] = True
+        self.words = Remembered(self.word, CACHE_LIMIT, LONG_PART)
+        self.parts = Remembered(self.part, CACHE_LIMIT, LONG_PART)
+
+    def part(self, letters: str) -> bytes:
+        """Ids of one part that the pattern cut out, as little-endian unsigned 32-bit."""
+        signs = letters if letters.isascii() else "".join([BYTE_SIGNS[b] for b in letters.encode()])
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(signs)]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word between white space; the last bears ENDS_HERE if a sentence ends there."""
+        if PLAIN.fullmatch(word):
+            ids = b"".join(map(self.parts.__getitem__, PATTERN.findall(word.lower())))
+        else:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if ids and SENTENCE_END.search(word):
+            ids = ids[:-4] + (int.from_bytes(ids[-4:], "little") | ENDS_HERE).to_bytes(4, "little")
+        return ids
 
     def encode(self, text: str) -> tuple[bytes, np.ndarray]:
         """The text's ids as little-endian unsigned 32-bit, and the positions after its sentences."""
         words = text.split() if not RARE_SPACE.search(text) else [w for w in re.split(r"[ \t\n\r\f\v]+", text) if w]
-        ids = b"".join(map(self.words.__getitem__, words))
-        return ids, np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1
+        ids = np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
+        return (ids & np.uint32(ENDS_HERE - 1)).tobytes(), np.flatnonzero(ids >> np.uint32(31)) + 1
 
 
 def cut_places(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
