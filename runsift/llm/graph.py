@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,11 @@ MAX_ROUNDS = 60
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where none is named, as in tests on one machine, one of this process."""
+    """The folder named in spark.checkpoint.dir; where none is named and all runs in one process, as in tests, one of this process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         named = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -27,21 +30,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def least_of(pairs: DataFrame, own: bool) -> DataFrame:
+    """(a, m): the least b of each a of pairs(a, b), or a itself if ``own`` and that is less.
+
+    The sum is grouped by -a, so that its rows are dealt anew for a join by a: a join right behind the
+    sum would read the sum's partitions, which Spark does not split.
+    """
+    low = pairs.groupBy((-F.col("a")).alias("k")).agg(F.min("b").alias("m")).select((-F.col("k")).alias("a"), "m")
+    return low.select("a", F.least("a", "m").alias("m")) if own else low
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the smallest node it is connected with.
 
     Loops and repeated edges do no harm; edges with a null end are ignored; no edges give no rows.
-    A hot node is only ever in joins that Spark can split and in sums that are combined before the shuffle.
+    A hot node's edges are only ever in sums that are combined before the shuffle and in joins of two plain
+    shuffles, which Spark's skew join splits.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     state = cut_lineage(pairs)
     seen = None
     for _ in range(MAX_ROUNDS):
         both = state.union(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        large = both.where("b > a").join(least_of(both, True), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.join(least_of(large, False), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         state = cut_lineage(small.select("e.a", "e.b").where("a <> b").distinct())
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:

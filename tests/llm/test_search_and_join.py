@@ -253,6 +253,19 @@ def test_parser_settles_loose_markup():
         assert dom.parse(odd).parent[0] == -1
 
 
+def test_parser_takes_time_in_proportion_to_the_page():
+    import time
+
+    def seconds(page):
+        start = time.process_time()
+        dom.parse(page)
+        return time.process_time() - start
+
+    for head, tail in (("<div>", "</x>"), ("<b>", "<p></p>"), ("<div>", "<li></li>"), ("<i>", "</b>"), ("<svg><g>", "</x>"), ("<svg><g>", "<g>")):
+        small, large = (min(seconds("<b><div>" + head * k + tail * k) for _ in range(2)) for k in (4_000, 32_000))
+        assert large < 24 * small + 0.2, (head, tail)
+
+
 def test_parser_loses_no_text_after_unclosed_elements():
     texts = lambda source: [t for t in dom.parse(source).text if t]
     for tag in ("svg", "select", "object", "video", "audio", "canvas", "template"):
