@@ -2,10 +2,11 @@
 
 Each shard of about SHARD_ROWS rows is a graph of layers over its distinct vectors; all ids of a
 vector are kept sorted beside it, and a vector that is found stands for all of them.  A vector's
-top layer is drawn from a geometric law by a hash of its smallest id; vectors enter one after the other, each linked with
-neighbours among the earlier ones of its layer that the diversity rule keeps (a candidate must
-be nearer to the new vector than to every neighbour kept before), and a full list is pruned by
-the same rule.  A shard being small, the candidates of an insertion are found exactly.  The graph
+top layer is drawn from a geometric law by a hash of its smallest id, and vectors enter in order of
+falling top layer, BLOCK at a time.  A new vector's candidates are what a beam search of the graph so
+far gives, entered at the nearest vector of the layer above, and the vectors of its own block; it is
+linked with those that the diversity rule keeps (a candidate must be nearer to the new vector than
+to every neighbour kept before), both ways, and a full list is pruned by the same rule.  The graph
 is stored as flat neighbour arrays (-1: none).  Queries of a block descend together: greedy steps
 on the upper layers, a beam of EF on layer 0.  The best of all shards are merged and scored in
 double precision; every vector is indexed.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .graph import cut_lineage
 from .vectors import against_queries, ranked, sharded, usable
 
-SHARD_ROWS, M, CANDIDATES, EF = 2048, 16, 48, 64
+SHARD_ROWS, BLOCK, M, CANDIDATES, EF = 8192, 512, 16, 32, 96
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -34,15 +35,32 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0)
 
 
-def diverse(order: np.ndarray, to_new: np.ndarray, between: np.ndarray, most: int) -> list[int]:
-    """The diversity rule over candidates in order of distance; what it leaves out fills up free places."""
-    kept: list[int] = []
-    for c in order.tolist():
-        if all(between[c, k] > to_new[c] for k in kept):
-            kept.append(c)
-            if len(kept) == most:
-                return kept
-    return kept + [c for c in order.tolist() if c not in kept][: most - len(kept)]
+def diverse(x: np.ndarray, near: np.ndarray, dist: np.ndarray, most: int) -> np.ndarray:
+    """Links of some rows: the diversity rule over their candidates ``near`` (-1: none) at distances ``dist``, both ascending by distance.
+
+    What the rule leaves out fills up free places, nearest first.
+    """
+    n, width = near.shape
+    chosen = np.zeros((n, width), bool)
+    for at in range(0, n, BLOCK):
+        part = slice(at, at + BLOCK)
+        c = x[near[part]]
+        sq = (c * c).sum(2)
+        between = np.maximum(sq[:, :, None] + sq[:, None, :] - 2 * np.matmul(c, c.transpose(0, 2, 1)), 0)
+        free, rows = near[part] >= 0, np.arange(len(c))
+        for _ in range(most):
+            first = free.argmax(1)
+            some = free[rows, first]
+            if not some.any():
+                break
+            chosen[at + rows[some], first[some]] = True
+            free &= between[rows, first] > dist[part]
+            free[rows, first] = False
+    # Chosen ones first, then the others, each nearest first.
+    order = np.argsort(np.where(near < 0, 2, ~chosen), axis=1, kind="stable")[:, :most]
+    out = np.full((n, most), -1, np.int32)
+    out[:, : order.shape[1]] = np.take_along_axis(near, order, 1)
+    return out
 
 
 def levels(ids: np.ndarray) -> np.ndarray:
@@ -53,26 +71,54 @@ def levels(ids: np.ndarray) -> np.ndarray:
     return np.floor(-np.log(u) / np.log(M)).astype(int)
 
 
-def build_layer(x: np.ndarray, most: int) -> np.ndarray:
-    """Neighbour array (len(x) x most) of one layer, -1 for free places."""
+def build_layer(x: np.ndarray, most: int, entry: np.ndarray) -> np.ndarray:
+    """Neighbour array (len(x) x most) of one layer, -1 for free places; the search for row i enters at row entry[i] < i."""
     n = len(x)
-    between = distances(x, x)
-    links: list[list[int]] = [[] for _ in range(n)]
-    for i in range(1, n):
-        d = between[i, :i]
-        near = np.argpartition(d, CANDIDATES)[:CANDIDATES] if i > CANDIDATES else np.arange(i)
-        near = near[np.argsort(d[near], kind="stable")]
-        links[i] = diverse(near, between[i], between, M)
-        for c in links[i]:
-            own = links[c]
-            own.append(i)
-            if len(own) > most:
-                own = np.array(own)
-                links[c] = diverse(own[np.argsort(between[c, own], kind="stable")], between[c], between, most)
-    out = np.full((n, most), -1, np.int32)
-    for i, own in enumerate(links):
-        out[i, : len(own)] = own
-    return out
+    links = np.full((n, most), -1, np.int32)
+    for at in range(0, n, BLOCK):
+        new = np.arange(at, min(at + BLOCK, n))
+        own = distances(x[new], x[new])
+        own[np.triu_indices(len(new))] = np.inf  # only earlier ones of the block
+        near, dist = np.broadcast_to(new.astype(np.int32), own.shape), own
+        if at:
+            place, far = beam(x[:at], x[new], links[:at], np.minimum(entry[new], at - 1), CANDIDATES)
+            near, dist = np.concatenate([place, near], 1), np.concatenate([far, dist], 1)
+        order = np.argsort(dist, axis=1, kind="stable")[:, :CANDIDATES]
+        near, dist = np.take_along_axis(near, order, 1), np.take_along_axis(dist, order, 1)
+        near = np.where(np.isfinite(dist), near, -1)
+        links[new, : min(M, most)] = diverse(x, near, dist, min(M, most))
+        add_back(x, links, new)
+    return links
+
+
+def add_back(x: np.ndarray, links: np.ndarray, new: np.ndarray) -> None:
+    """Links from the neighbours of ``new`` back to them; lists that overflow are pruned."""
+    most = links.shape[1]
+    i, j = np.nonzero(links[new] >= 0)
+    to, of = new[i].astype(np.int32), links[new][i, j]
+    order = np.argsort(of, kind="stable")
+    to, of = to[order], of[order]
+    nodes, first, times = np.unique(of, return_index=True, return_counts=True)
+    had = (links[nodes] >= 0).sum(1)
+    fits = had + times <= most
+    rank = np.arange(len(of)) - np.repeat(first, times)
+    easy = np.repeat(fits, times)
+    links[of[easy], (np.repeat(had, times) + rank)[easy]] = to[easy]
+    full = np.flatnonzero(~fits)
+    if not len(full):
+        return
+    wide = np.full((len(full), most + int(times[full].max())), -1, np.int32)
+    wide[:, :most] = links[nodes[full]]
+    at = np.full(len(nodes), -1)
+    at[full] = np.arange(len(full))
+    wide[np.repeat(at, times)[~easy], most + rank[~easy]] = to[~easy]
+    for part in range(0, len(full), BLOCK):
+        rows, near = nodes[full][part : part + BLOCK], wide[part : part + BLOCK]
+        dist = ((x[near] - x[rows][:, None, :]) ** 2).sum(2)
+        dist[near < 0] = np.inf
+        order = np.argsort(dist, axis=1, kind="stable")
+        near, dist = np.take_along_axis(near, order, 1), np.take_along_axis(dist, order, 1)
+        links[rows] = diverse(x, near, dist, most)
 
 
 def distinct(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,12 +131,19 @@ def distinct(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def build(ids: np.ndarray, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Layers from the bottom: (members as rows of x, their neighbour array as positions within members)."""
-    top, out = levels(ids), []
-    for layer in range(int(top.max()) + 1):
-        member = np.flatnonzero(top >= layer).astype(np.int32)
-        out.append((member, build_layer(x[member], 2 * M if layer == 0 else M)))
-    return out
+    """Layers from the bottom: (members as rows of x, their neighbour array as positions within members); an upper layer's members come first in the one below."""
+    top = levels(ids)
+    order = np.lexsort((np.arange(len(ids)), -top)).astype(np.int32)
+    out: list = []
+    for layer in range(int(top.max()), -1, -1):
+        member = order[: int((top >= layer).sum())]
+        entry = np.zeros(len(member), np.int64)
+        if out:
+            above, links = out[-1]
+            place, _ = beam(x[above], x[member[len(above) :]], links, entry[len(above) :], 1)
+            entry[len(above) :] = place[:, 0]
+        out.append((member, build_layer(x[member], M if layer else 2 * M, entry)))
+    return out[::-1]
 
 
 def beam(x: np.ndarray, q: np.ndarray, links: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +185,7 @@ def search(layers: list, x: np.ndarray, q: np.ndarray, width: int) -> np.ndarray
         member, links = layers[level]
         place, _ = beam(x[member], q, links, entry, 1 if level else width)
         if level:
-            below = layers[level - 1][0]
-            entry = np.searchsorted(below, member[place[:, 0]])
+            entry = place[:, 0].astype(np.int64)  # members of a layer come first in the one below
     member = layers[0][0]
     return np.where(place >= 0, member[place], -1)
 

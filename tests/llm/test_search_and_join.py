@@ -47,12 +47,18 @@ def test_hnsw_small_shards_and_empty(spark):
     assert [(r.query_id, r.vec_id) for r in hnsw.nearest(two, two, 10).orderBy("query_id").collect()] == [(0, 1), (1, 0)]
 
 
-def test_hnsw_graph_of_equal_vectors_is_searched():
-    x = np.repeat(np.eye(4), 60, 0)
-    layers = hnsw.build(np.arange(240), x)
-    got = hnsw.search(layers, x, np.eye(4), 64)
-    for q in range(4):
-        assert (np.argmax(x[got[q][:10]], 1) == q).mean() >= 0.5 and len(set(got[q][got[q] >= 0])) == (got[q] >= 0).sum()
+def test_hnsw_graph_is_built_by_searching_it():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(3000, 24))
+    layers = hnsw.build(np.arange(3000), x)
+    for (above, _), (below, links) in zip(layers[1:], layers):
+        assert (below[: len(above)] == above).all()
+        own = links >= 0
+        assert (links < len(below)).all() and own.any(1).all() and all(len(set(row[row >= 0])) == (row >= 0).sum() and i not in row for i, row in enumerate(links))
+    got = hnsw.search(layers, x, x[:200], hnsw.EF)
+    want = np.argsort(hnsw.distances(x[:200], x), 1, kind="stable")[:, :10]
+    shares = [len(set(g[:10]) & set(w)) / 10 for g, w in zip(got, want)]
+    assert np.mean(shares) >= 0.95 and min(shares) > 0
 
 
 def test_hnsw_recall_with_a_third_of_the_rows_equal(spark):
@@ -88,6 +94,19 @@ def test_topk_equals_brute_force(spark):
     assert topk.top(df.where("false"), df.where("false"), 5).count() == 0
 
 
+def test_topk_of_products_beyond_the_exact_doubles():
+    r = np.random.default_rng(4)
+    x = np.floor(r.normal(size=(60, 3)) * 2.0**29)
+    order = np.lexsort((np.arange(60), -(x * x).sum(1)))
+    got = topk.best(np.arange(60)[order], x[order], np.arange(4), x[:4], np.eye(3), 5)
+    for q in range(4):
+        want = sorted((-sum(int(a) * int(b) for a, b in zip(x[i], x[q])), i) for i in range(60) if i != q)[:5]
+        mine = got[got.query_id == q]
+        assert [(-s, i) for s, i in zip(mine.score.tolist(), mine.vec_id.tolist())] == want
+    with pytest.raises(OverflowError):
+        topk.best(np.arange(2), np.full((2, 3), 2.0**40), np.array([0]), np.full((1, 3), 2.0**40), np.eye(3), 1)
+
+
 def test_topk_prunes_without_losing_ties():
     r = np.random.default_rng(2)
     x = np.floor(r.normal(size=(900, 8)) * 3 * np.linspace(8, 0.1, 900)[:, None])
