@@ -5,12 +5,14 @@ whole table (from its d x d Gram matrix, summed over all rows).  Queries of a bl
 in runs: a run is left, and with it all that follow, when the query's length times the run's
 largest length cannot reach its k-th best score; the first HEAD rotated coordinates give a
 partial sum and Cauchy-Schwarz bounds the rest by the product of the residual lengths; only
-vectors whose bound reaches the k-th best are scored exactly, in integers.
+vectors whose bound reaches the k-th best are scored exactly: doubles hold integers below 2^53 as
+they are, and where lengths allow larger products all are made of Python's integers.
 
 Components x become floor(256 x).  Defined results: vectors null, empty or with a null or
 non-finite component take no part; vectors only meet those of their own length; fewer than k
 candidates are all returned; equal scores go to the smaller vec_id; repeated rows are separate
-candidates, except that a query never finds its own id; extra columns are ignored.
+candidates, except that a query never finds its own id; extra columns are ignored; an empty table
+gives no rows; components of 2^54 or more, and scores that a long can't hold, raise an error.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ def rotation(vectors: DataFrame) -> dict[int, np.ndarray]:
             for dim, part in pdf.groupby("dim"):
                 x = np.stack(part.v).astype(np.float64)
                 total[dim] = total.get(dim, 0) + x.T @ x
-        yield pd.DataFrame({"dim": list(total), "at": [list(range(d * d)) for d in total], "value": [g.ravel() for g in total.values()]})
+        if total:
+            yield pd.DataFrame({"dim": list(total), "at": [list(range(d * d)) for d in total], "value": [g.ravel() for g in total.values()]})
 
     cells = vectors.mapInPandas(gram, "dim int, at array<int>, value array<double>")
     cells = cells.select("dim", F.explode(F.arrays_zip("at", "value")).alias("c")).groupBy("dim", "c.at").agg(F.sum("c.value").alias("value"))
@@ -49,12 +52,29 @@ def rotation(vectors: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
+def best_of_large(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
+    """The same as best() by Python's integers, RUN rows at a time."""
+    whole = lambda m: np.array([[int(v) for v in row] for row in m], object)
+    rows = []
+    for name, vector in zip(q_ids.tolist(), whole(q)):
+        top: list[tuple[int, int]] = []
+        for at in range(0, len(x), RUN):
+            scores = whole(x[at : at + RUN]) @ vector
+            top = sorted(top + [(-s, i) for s, i in zip(scores.tolist(), ids[at : at + RUN].tolist()) if i != name])[:k]
+        rows += [(name, i, -s) for s, i in top]
+    if any(abs(s) >= 1 << 63 for _, _, s in rows):
+        raise OverflowError("a score does not fit a long")
+    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+
+
 def best(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, turn: np.ndarray, k: int) -> pd.DataFrame:
     """The k best rows of x (ids; by descending length) for each query."""
     head = max(1, int(len(turn) * HEAD_SHARE))
     xr, qr = x @ turn, q @ turn
     length, q_length = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
     rest, q_rest = np.sqrt((xr[:, head:] ** 2).sum(1)), np.sqrt((qr[:, head:] ** 2).sum(1))
+    if length.max(initial=0) * q_length.max(initial=0) >= 2.0**52:
+        return best_of_large(ids, x, q_ids, q, k)
     score = np.full((len(q), k), -np.inf)
     who = np.full((len(q), k), np.iinfo(np.int64).max)
     live = np.arange(len(q))
@@ -79,8 +99,11 @@ def best(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, turn:
 def top(table: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest integer inner products with table(vec_id, embedding) for each row of queries."""
 
+    def scaled(x):
+        return F.when(F.abs(x) < 2.0**54, F.floor(x * SCALE).cast("double")).otherwise(F.raise_error(F.lit("a component is too large")).cast("double"))
+
     def whole(rows: DataFrame) -> DataFrame:
-        return usable(rows, False).withColumn("v", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")))
+        return usable(rows, False).withColumn("v", F.transform("v", scaled))
 
     vectors = whole(table)
     turns = rotation(vectors)
