@@ -18,8 +18,8 @@ MUTATIONS = (
 DEFAULT_MUTATION, RISKS = "CALL_CHAIN_EXTEND", ("low", "medium", "high")
 #: Fixed value: marks of an observation block.
 OBSERVATION = r"(?s)BRT_OBS_START\s*(.*?)\s*BRT_OBS_END"
-#: Bounds of values that are shown to a reader: depth, characters, keys, items.
-SHOWN_DEPTH, SHOWN_CHARS, SHOWN_KEYS, SHOWN_ITEMS = 6, 4000, 40, 10
+#: Bounds of values that are shown to a reader: depth, characters, keys, items, characters of a whole report.
+SHOWN_DEPTH, SHOWN_CHARS, SHOWN_KEYS, SHOWN_ITEMS, SHOWN_REPORT = 6, 4000, 40, 10, 20_000
 
 
 def object_or_null(text: Column) -> Column:
@@ -61,12 +61,12 @@ def observations(text: Column) -> Column:
     """array<map<string, string>> of the marked observation blocks; a value that is no object becomes {'value': text}; null for bad JSON."""
     blocks = F.regexp_extract_all(text, F.lit(OBSERVATION), F.lit(1))
 
-    def one(b):
-        good = F.try_parse_json(b)
-        as_map = F.from_json(b, "map<string,string>")
-        return F.when(good.isNull(), F.lit(None)).when(F.startswith(F.schema_of_variant(good), F.lit("OBJECT")), as_map).otherwise(F.create_map(F.lit("value"), b))
+    return F.transform(blocks, _block)
 
-    return F.transform(blocks, one)
+
+def _block(b: Column) -> Column:
+    # from_json gives null for other values than objects, and for bad JSON.
+    return F.coalesce(F.from_json(b, "map<string,string>"), F.when(F.try_parse_json(b).isNotNull(), F.create_map(F.lit("value"), b)))
 
 
 def last_observation(stdout: Column, stderr: Column) -> Column:
@@ -76,10 +76,22 @@ def last_observation(stdout: Column, stderr: Column) -> Column:
 
 
 def merged_observations(stdout: Column) -> Column:
-    """All valid blocks of one stream in one map; a later value of a key wins."""
-    found = F.filter(observations(F.coalesce(stdout, F.lit(""))), lambda m: m.isNotNull())
+    """All blocks of one stream in one map; a later value of a key wins, and the last block that is not JSON is kept under 'raw'."""
+    blocks = F.regexp_extract_all(F.coalesce(stdout, F.lit("")), F.lit(OBSERVATION), F.lit(1))
+    read = F.transform(blocks, lambda b: F.struct(_block(b).alias("good"), b.alias("text")))
     empty = F.create_map().cast("map<string,string>")
-    return F.aggregate(found, empty, lambda a, m: F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(m, k)), m))
+    start = F.struct(empty.alias("good"), F.lit(None).cast("string").alias("raw"))
+
+    def add(state, block):
+        more = F.map_concat(F.map_filter(state["good"], lambda k, v: ~F.map_contains_key(block["good"], k)), block["good"])
+        good = block["good"].isNotNull()
+        return F.struct(F.when(good, more).otherwise(state["good"]).alias("good"), F.when(good, state["raw"]).otherwise(block["text"]).alias("raw"))
+
+    def finish(state):
+        with_raw = F.map_concat(F.map_filter(state["good"], lambda k, v: k != "raw"), F.create_map(F.lit("raw"), state["raw"]))
+        return F.when(state["raw"].isNull(), state["good"]).otherwise(with_raw)
+
+    return F.aggregate(read, start, add, finish)
 
 
 def normalized_plan(ops: Column, risk: Column) -> Column:
@@ -135,6 +147,14 @@ def shown(value, depth: int = 0):
     return value
 
 
+def bounded_report(observations: Column, limit: int = SHOWN_REPORT) -> Column:
+    """Bounded form of a report's observations as JSON; what is still too long becomes one shortened text."""
+    from .text import shorten_middle
+
+    short = F.coalesce(shown_json(observations), F.lit("{}"))
+    return F.when(F.length(short) <= limit, short).otherwise(F.to_json(F.struct(shorten_middle(short, limit).alias("truncated_json"))))
+
+
 def _shown_text(text: str | None) -> str | None:
     try:
         return json.dumps(shown(json.loads(text)), ensure_ascii=False)

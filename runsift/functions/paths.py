@@ -47,9 +47,29 @@ def patch_refusal(path: Column, search: Column, replace: Column, test_path: Colu
     )
 
 
+def patch_list(items: Column, test_path: Column, allowed: Column) -> Column:
+    """struct(items, problem) of array<struct<path, search, replace>>: all items, or none and the first refusal; 'empty' for no items."""
+    refusals = F.filter(F.transform(items, lambda x: patch_refusal(x["path"], x["search"], x["replace"], test_path, allowed)), lambda x: x.isNotNull())
+    problem = F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, "empty").otherwise(F.coalesce(F.try_element_at(refusals, F.lit(1)), F.lit("")))
+    return F.struct(F.when(problem == "", items).otherwise(F.slice(items, 1, 0)).alias("items"), problem.alias("problem"))
+
+
+#: Short names of projects by the owner that an id begins with.
+OWNERS = {"pytest-dev": "pytest", "sphinx-doc": "sphinx", "pylint-dev": "pylint", "pallets": "flask", "psf": "requests", "pydata": "xarray", "mwaskom": "seaborn"}
+
+
+def repository_folder(repo: Column, instance_id: Column, folders: Column) -> Column:
+    """The folder of a checkout among the names in ``folders``: the project's name, owner__project, or the short name of the id's owner; the first of them if none is there."""
+    owner = F.substring_index(instance_id, "__", 1)
+    short = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in OWNERS.items() for x in pair]), owner), owner)
+    given = F.coalesce(repo, F.lit("")) != ""
+    names = F.when(given, F.array(F.substring_index(repo, "/", -1), F.replace(repo, F.lit("/"), F.lit("__")), short)).otherwise(F.array(short))
+    return F.coalesce(F.try_element_at(F.filter(names, lambda x: F.array_contains(folders, x)), F.lit(1)), names[0])
+
+
 def needs_rebuild(patch: Column) -> Column:
     """Whether a patch writes a file of a compiled language or of the build."""
-    paths = F.transform(F.filter(F.split(patch, r"\r?\n"), lambda x: x.startswith("+++ b/")), lambda x: base_name(F.trim(F.substring(x, 7, 100_000))))
+    paths = F.transform(F.filter(F.split(patch, r"\r?\n"), lambda x: x.startswith("+++ b/")), lambda x: base_name(F.trim(F.substr(x, F.lit(7)))))
     return F.exists(paths, lambda p: F.lower(F.regexp_extract(p, r"[^.](\.[^.]*)$", 1)).isin(*BUILD_ENDINGS) | p.isin(*BUILD_FILES))
 
 

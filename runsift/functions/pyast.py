@@ -83,29 +83,39 @@ def _try_rule(node):
             return "swallowed_exception"
 
 
-NODE_RULES = ((ast.Call, _call_rule), (FUNCTIONS, _function_rule), (ast.Assert, _assert_rule), (ast.Try, _try_rule))
+NODE_RULES = {ast.Call: _call_rule, ast.FunctionDef: _function_rule, ast.AsyncFunctionDef: _function_rule, ast.Assert: _assert_rule, ast.Try: _try_rule}
+# Code that wants an exception, and code that denies an attribute.
+WANTS_RAISE = re.compile(r"(?:pytest\.raises|assertRaises|\braises\s*\()")
+DENIES_ATTRIBUTE = re.compile(r"(?:assert\s+not\s+hasattr\s*\(|assertFalse\s*\(\s*hasattr\s*\()")
 
 
 def audit(code: str | None, expected: str | None) -> str:
     """Label of the first rule that a candidate test breaks; '' if it is sound."""
-    tree = tree_of(code)
+    return audit_tree(tree_of(code), code, expected)
+
+
+def audit_tree(tree: ast.Module | None, code: str | None, expected: str | None) -> str:
     if tree is None:
         return "syntax"
-    nodes = list(ast.walk(tree))
-    if sum(isinstance(n, FUNCTIONS) and n.name.startswith("test") for n in nodes) != 1:
+    ruled = [n for n in ast.walk(tree) if type(n) in NODE_RULES]
+    if sum(isinstance(n, FUNCTIONS) and n.name.startswith("test") for n in ruled) != 1:
         return "not_one_test"
-    for n in nodes:
-        for kind, rule in NODE_RULES:
-            if isinstance(n, kind) and (found := rule(n)):
-                return found
+    for n in ruled:
+        if found := NODE_RULES[type(n)](n):
+            return found
     low = (expected or "").lower()
-    if any(w in low for w in NO_RAISE) and re.search(r"(?:pytest\.raises|assertRaises|\braises\s*\()", code):
+    if any(w in low for w in NO_RAISE) and WANTS_RAISE.search(code):
         return "raises_against_expected"
-    if any(w in low for w in CAPABILITY) and re.search(r"(?:assert\s+not\s+hasattr\s*\(|assertFalse\s*\(\s*hasattr\s*\()", code):
+    if any(w in low for w in CAPABILITY) and DENIES_ATTRIBUTE.search(code):
         return "hasattr_against_expected"
     return ""
 
 
+def audit_and_selector(code: str | None, expected: str | None) -> tuple[str, str]:
+    tree = tree_of(code)
+    return audit_tree(tree, code, expected), selector_in(tree)
+
+
 def brittle(code: str | None) -> str:
     """'private' or 'exact_text' for an assert that leans on internals, 'syntax' for no Python, else ''."""
     tree = tree_of(code)
@@ -123,7 +133,11 @@ def brittle(code: str | None) -> str:
 
 def selector(code: str | None) -> str:
     """Class::test or test of the first test at the top level, in the order of the source; '' if there is none."""
-    for n in getattr(tree_of(code), "body", []):
+    return selector_in(tree_of(code))
+
+
+def selector_in(tree: ast.Module | None) -> str:
+    for n in getattr(tree, "body", []):
         inner = n.body if isinstance(n, ast.ClassDef) else [n]
         for f in inner:
             if isinstance(f, FUNCTIONS) and f.name.startswith("test"):
@@ -240,6 +254,30 @@ def audited(code: Column, expected: Column) -> Column:
     return arrow_udf(audit, "string", 2)(code, expected)
 
 
+def audited_with_selector(code: Column, expected: Column) -> Column:
+    """struct(problem, selector); the code is parsed once."""
+    return arrow_udf(audit_and_selector, "problem string, selector string", 2)(code, expected)
+
+
+# Build requirements that an environment brings itself.
+BROUGHT = {"setuptools", "oldest-supported-numpy", "numpy"}
+
+
+def build_requirements(text: str | None) -> list[str]:
+    """Requirements of a pyproject.toml's build system, without those that an environment brings itself; none for a text that does not parse."""
+    import tomllib
+
+    try:
+        wanted = tomllib.loads(text or "").get("build-system", {}).get("requires", [])
+    except (ValueError, AttributeError, TypeError):
+        return []
+    return [str(w) for w in wanted if re.split(r"[<>=!~;\[]", str(w), maxsplit=1)[0].strip().lower().replace("_", "-") not in BROUGHT]
+
+
+def build_requirements_of(text: Column) -> Column:
+    return arrow_udf(build_requirements, "array<string>", 1)(text)
+
+
 def brittle_of(code: Column) -> Column:
     return text_udf(brittle)(code)
 

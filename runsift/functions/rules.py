@@ -154,6 +154,28 @@ def dual_outcome(buggy_code: Column, patched_code: Column) -> Column:
     return first_match([((buggy_code != 0) & (patched_code == 0), "F2P_SUCCESS"), (buggy_code == 0, "BUGGY_PASS"), (patched_code != 0, "PATCHED_FAIL")], "SETUP_ERROR")
 
 
+def pair_status(mode: Column, buggy_code: Column, patched_code: Column, has_input: Column, applied: Column) -> Column:
+    """struct(status, note) of one comparison of two versions.
+
+    mode: buggy_only, patched_repo, patch_file or patch_text; has_input: whether the patched version or the
+    patch is there; applied: whether the patch text could be applied.
+    """
+    lacks = F.when(mode == "patched_repo", "missing patched_repo_base").otherwise(F.concat(F.lit("missing "), mode))
+    known = mode.isin("patched_repo", "patch_file", "patch_text")
+    status = first_match(
+        [
+            (mode == "buggy_only", "BUGGY_ONLY"),
+            (~known, "NOT_IMPLEMENTED"),
+            (~has_input, "SETUP_ERROR"),
+            ((mode == "patch_text") & ~applied, "PATCH_APPLY_ERROR"),
+            ((buggy_code != 0) & (patched_code == 0), "F2P_SUCCESS"),
+            (buggy_code == 0, "BUGGY_PASS"),
+        ],
+        "PATCHED_FAIL",
+    )
+    return F.struct(status.alias("status"), F.when(known & ~has_input, lacks).otherwise("").alias("note"))
+
+
 def failure_category(status: Column) -> Column:
     """Reporting category; null for success and for no status."""
     status = F.coalesce(status, F.lit(""))
@@ -256,7 +278,13 @@ def phase(markers: Column) -> Column:
 
 PYTEST_PROJECTS = ("astropy", "matplotlib", "flask", "xarray", "pylint", "scikit-learn", "sphinx", "requests")
 OLD_MATPLOTLIB = ("3.0", "3.1", "3.2", "3.3", "3.4")
+# Commands that prepare a project.
 EDITABLE = "python -m pip install --ignore-installed --no-deps -e ."
+IN_PLACE = "python setup.py build_ext --inplace"
+ASTROPY_SETUP = (
+    r"""if [ -f pyproject.toml ]; then sed -i 's/requires = \["setuptools",/requires = ["setuptools==68.0.0",/' pyproject.toml; fi"""
+    r""" && python -m pip install --ignore-installed --no-deps -e ."[test]" --verbose"""
+)
 
 
 def test_command(repo: Column, file: Column, selector: Column) -> Column:
@@ -280,7 +308,7 @@ def test_command(repo: Column, file: Column, selector: Column) -> Column:
 
 def setup_command(repo: Column, version: Column) -> Column:
     project = F.substring_index(repo, "/", -1)
-    return first_match([((project == "matplotlib") & version.isin(*OLD_MATPLOTLIB), "python setup.py build_ext --inplace")], EDITABLE)
+    return first_match([(project == "astropy", ASTROPY_SETUP), ((project == "matplotlib") & version.isin(*OLD_MATPLOTLIB), IN_PLACE)], EDITABLE)
 
 
 def status_or(status: Column, word: str) -> Column:

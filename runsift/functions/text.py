@@ -112,6 +112,64 @@ def code_context(items: Column, limit: int = 18_000) -> Column:
     return shorten_middle(F.array_join(numbered, "\n\n"), limit)
 
 
+# Labels of the sections that a reader is shown.
+SOURCE_SECTION = (("【源码片段 ", "】\n文件路径："), "\n对象名称：", "\n节点类型：", "\n父节点：", "\n行号范围：", "-", "\n代码：\n")
+TEST_SECTION = (("【相关测试 ", "】\n测试文件："), "\n测试名称：", "\n测试代码：\n")
+EDIT_SECTION = (("【允许修改源码 ", "】\npath: "), "\nobject: ", "\nlines: ", "-", "\ncode:\n")
+
+
+def _sections(items: Column, labels, fields: list[str], end: str, between: str, limit: int) -> Column:
+    (first, second), *others = labels
+
+    def section(x, i):
+        parts = [F.lit(first), (i + 1).cast("string"), F.lit(second), x[fields[0]]]
+        for label, name in zip(others, fields[1:]):
+            parts += [F.lit(label), x[name]]
+        return F.concat(*[F.coalesce(p, F.lit("")) for p in parts], F.lit(end))
+
+    return shorten_middle(F.array_join(F.transform(items, section), between), limit)
+
+
+def source_sections(items: Column, limit: int = 18_000) -> Column:
+    """Numbered sections of array<struct<path, name, node_type, parent, start, end, content>>."""
+    return _sections(items, SOURCE_SECTION, ["path", "name", "node_type", "parent", "start", "end", "content"], "\n", "\n", limit)
+
+
+def test_sections(items: Column, limit: int = 18_000) -> Column:
+    """Numbered sections of array<struct<file, name, content>>."""
+    return _sections(items, TEST_SECTION, ["file", "name", "content"], "\n", "\n", limit)
+
+
+def edit_sections(items: Column, limit: int = 30_000) -> Column:
+    """Numbered sections of array<struct<path, name, start, end, content>>; an item without a path is left out, its number with it."""
+    numbered = F.transform(items, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    kept = F.filter(numbered, lambda y: F.coalesce(y["x"]["path"], F.lit("")) != "")
+    (first, second), *others = EDIT_SECTION
+
+    def section(y):
+        x, parts = y["x"], [F.lit(first), (y["i"] + 1).cast("string"), F.lit(second), y["x"]["path"]]
+        for label, name in zip(others, ["name", "start", "end", "content"]):
+            parts += [F.lit(label), x[name]]
+        return F.concat(*[F.coalesce(p, F.lit("")) for p in parts])
+
+    return shorten_middle(F.array_join(F.transform(kept, section), "\n\n"), limit)
+
+
+def source_excerpt(source: Column, content: Column, start: Column, end: Column, whole: int = 20_000, around: int = 120, limit: int = 9_000) -> Column:
+    """A short source whole; of a long one the lines from ``around`` before start to ``around`` after end, or all if these are no numbers; without a source the hit's own content."""
+    lines = lines_of(source)
+    from_line, to_line = start.try_cast("int"), end.try_cast("int")
+    first = F.greatest(from_line - around, F.lit(1))
+    last = F.least(to_line + around, F.size(lines))
+    part = F.when(from_line.isNotNull() & to_line.isNotNull(), F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "\n"))
+    return F.when(source.isNull(), content).when(F.length(source) <= whole, source).otherwise(shorten_middle(F.coalesce(part, source), limit))
+
+
+def time_text(moment: Column | None = None) -> Column:
+    """A time, or now, as text to the second."""
+    return F.date_format(F.current_timestamp() if moment is None else moment, "yyyy-MM-dd HH:mm:ss")
+
+
 def source_window(code: Column, before: int = 25, after: int = 150, whole: int = 10_000) -> Column:
     """A short source whole; of a long one the lines around its first def or class."""
     lines = F.split(code, "\n")

@@ -57,10 +57,24 @@ def resumable(status: Column) -> Column:
     return ~F.coalesce(status.isin(*RERUN), F.lit(False))
 
 
+def with_presence(ids: DataFrame, rows: DataFrame, key: str, name: str) -> DataFrame:
+    """ids with whether rows has their key: one join, with the distinct keys."""
+    there = rows.select(key).where(F.col(key).isNotNull()).distinct().withColumn(name, F.lit(True))
+    return ids.join(there, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def present(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return ids.join(rows, key, "left_semi")
 
 
+def requested_ids(given: DataFrame, on_disk: DataFrame, evaluated: DataFrame) -> DataFrame:
+    """(instance_id): those that are given; if none is, every id on disk or evaluated, once, sorted, the folder formal_eval left out."""
+    found = on_disk.select("instance_id").where("instance_id <> 'formal_eval'").union(evaluated.select("instance_id")).where("instance_id is not null").distinct()
+    listed = given.select("instance_id").where("coalesce(instance_id, '') <> ''")
+    # The other side of this join is one row at most.
+    return listed.union(found.join(listed.limit(1).select(F.lit(1)), how="left_anti", on=F.lit(True)).sort("instance_id"))
+
+
 def paired_calls(messages: DataFrame, group: str = "id") -> DataFrame:
     """(group, call_id, name, argument, result): tool calls with their results; the argument's name varies."""
     calls = messages.select(group, F.explode("tool_calls").alias("c")).select(group, F.col("c.id").alias("call_id"), F.col("c.function.name").alias("name"), F.col("c.function.arguments").alias("arguments"))

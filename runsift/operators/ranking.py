@@ -13,11 +13,14 @@ def numbered(df: DataFrame, keys: list, order: list, name: str) -> DataFrame:
 def dedup_top_k(df: DataFrame, group: list[str], key: list[Column], position: str, k: int) -> DataFrame:
     """The first row of each key in a group, then the first k of the group; k <= 0 still gives one row.
 
-    Rows meet on the group's hash once: both windows share that partitioning.  Keys compare
-    as they are, so null and '' differ unless the caller makes them equal.
+    Repeated keys are combined before the shuffle, and the window's bound lets each task send k rows of a
+    group at most, so a hot group costs little.  Keys compare as they are, so null and '' differ unless the
+    caller makes them equal.
     """
-    keyed = df.withColumns({f"_k{i}": c for i, c in enumerate(key)}).repartition(*group)
-    first = numbered(keyed, [*group, *[f"_k{i}" for i in range(len(key))]], [position], "_n").where("_n = 1")
+    rest = [c for c in df.columns if c not in group]
+    names = [f"_k{i}" for i in range(len(key))]
+    first = df.withColumns(dict(zip(names, key))).groupBy(*group, *names).agg(F.min_by(F.struct(*rest), position).alias("_row"))
+    first = first.select(*group, *[F.col("_row")[c].alias(c) for c in rest])
     best = numbered(first, group, [position], "_n").where(F.col("_n") <= max(k, 1))
     return best.select(*df.columns)
 

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import json_values, paths, pyast, rules, text
 from ..operators import joins, metrics, ranking, schedule
+from ..sources import records
 from ..streaming import snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,8 +55,9 @@ def export_record_status(spark, sf):
     evaluated = table(spark, sf, "labels").select("doc_id", outcome_of_labels().alias("outcome"))
     rows = table(spark, sf, "documents").select("doc_id", "source").join(evaluated, "doc_id", "left")
     counts = rows.groupBy(rules.status_or(F.col("outcome"), "NOT_EVALUATED").alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col("source") == "src0").alias("n_first"))
-    total = rows.agg(F.count("*").alias("total"))
-    return counts.join(total).select("status", "n", "n_first", metrics.rate(F.col("n").cast("double"), F.col("total")).alias("share"))
+    # A window over the few statuses, not a second pass over the rows.
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return counts.select("status", "n", "n_first", metrics.rate(F.col("n").cast("double"), total).alias("share"))
 
 
 @query(
@@ -211,9 +213,7 @@ def resume_pending(spark, sf):
 
 @query("SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS completed FROM documents")
 def completed_missing(spark, sf):
-    ids, done = table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels")
-    yes, no = joins.present(ids, done, "doc_id"), joins.pending(ids, done, "doc_id")
-    return yes.withColumn("completed", F.lit(True)).unionByName(no.withColumn("completed", F.lit(False)))
+    return joins.with_presence(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id", "completed")
 
 
 # -- assembly
@@ -287,9 +287,12 @@ def tail_excerpt(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(got).alias("excerpt_md5"))
 
 
-@query("SELECT doc_id, md5(array_to_string(list_slice(string_split(text, chr(10)), -3, -1), chr(10))) AS last_md5, len(string_split(text, chr(10))) AS n FROM documents WHERE text NOT LIKE '%' || chr(10) AND text <> ''")
+@query(
+    """WITH l AS (SELECT doc_id, CASE WHEN text = '' THEN []::VARCHAR[] WHEN suffix(text, chr(10)) THEN string_split(left(text, -1), chr(10)) ELSE string_split(text, chr(10)) END AS lines FROM documents)
+SELECT doc_id, md5(coalesce(array_to_string(list_slice(lines, -3, -1), chr(10)), CASE WHEN lines IS NOT NULL THEN '' END)) AS last_md5, len(lines) AS n FROM l"""
+)
 def last_lines(spark, sf):
-    """Every document; the SQL lists only those with text that does not end in a line feed."""
+    """Every document; a final line feed begins no line."""
     return table(spark, sf, "documents").select("doc_id", F.md5(text.last_lines(F.col("text"), 3)).alias("last_md5"), F.size(text.lines_of(F.col("text"))).cast("long").alias("n"))
 
 
@@ -427,11 +430,12 @@ def safe_path_filter(spark, sf):
 
 
 @query(
-    f"""SELECT page_id, list_sort(list_distinct(['old/' || page_id || '.py', {PATH_SQL}])) AS files, [x FOR x IN [{PATH_SQL}] IF NOT regexp_matches(x, '(\\.json|\\.png|csv|\\.txt|\\.md)$')] AS directives,
-  page_id % 2 = 0 AS rebuild FROM pages WHERE {PATH_SQL} NOT LIKE '% b/%'"""
+    f"""WITH h AS (SELECT page_id, 'old/' || page_id || '.py b/' || {PATH_SQL} AS head FROM pages),
+p AS (SELECT page_id, regexp_extract(head, '(.*) b/(.*)', 1) AS old, regexp_extract(head, '(.*) b/(.*)', 2) AS new FROM h)
+SELECT page_id, list_sort(list_distinct([old, new])) AS files, [x FOR x IN [new] IF NOT regexp_matches(x, '(\\.json|\\.png|csv|\\.txt|\\.md)$')] AS directives, page_id % 2 = 0 AS rebuild FROM p"""
 )
 def changed_files(spark, sf):
-    """Every page; the SQL lists only those whose path has no ' b/', at the last of which the header is cut."""
+    """Every page; a header is cut at its last ' b/'."""
     path = F.regexp_extract("url", "^[a-z]+://[^/]*/(.*)$", 1)
     patch = F.concat(F.lit("diff --git a/old/"), F.col("page_id").cast("string"), F.lit(".py b/"), path, F.lit("\n+++ b/src/x."), F.when(F.col("page_id") % 2 == 0, "pyx").otherwise("py"), F.lit("\n"))
     return table(spark, sf, "pages").select("page_id", paths.changed_files(patch).alias("files"), paths.directives(patch, F.lit("a/b")).alias("directives"), paths.needs_rebuild(patch).alias("rebuild"))
@@ -462,8 +466,7 @@ def stream_snapshot(spark, sf):
     """The same by a stream over the files that are there, from its final state."""
     import uuid
 
-    named = spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/runsift-streams"
-    folder = f"{named}/stream-{uuid.uuid4().hex}"
+    folder = f"{records.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     totals = snapshot.status_totals(snapshot.event_stream(spark, f"{sf}/events[.]parquet"))
     return snapshot.drained(totals, f"{folder}/out", f"{folder}/state").withColumn("newest", F.unix_micros("newest"))
 
@@ -523,7 +526,9 @@ def observation_blocks(spark, sf):
     """Of two blocks the last alone, and both merged."""
     log = F.concat(F.lit('BRT_OBS_START {"a": 1, "b": 0} BRT_OBS_END\nBRT_OBS_START {"b": '), F.col("event_id").cast("string"), F.lit("} BRT_OBS_END"))
     last, merged = json_values.last_observation(log, F.lit("")), json_values.merged_observations(log)
-    return table(spark, sf, "events").select("event_id", last["b"].alias("last_b"), F.try_element_at(last, F.lit("a")).alias("last_a"), merged["a"].alias("merged_a"), merged["b"].alias("merged_b"))
+    # Both maps are made once, in a projection of their own.
+    read = table(spark, sf, "events").select("event_id", last.alias("last"), merged.alias("merged"))
+    return read.select("event_id", F.col("last.b").alias("last_b"), F.col("last.a").alias("last_a"), F.col("merged.a").alias("merged_a"), F.col("merged.b").alias("merged_b"))
 
 
 @query(
@@ -561,7 +566,8 @@ def ast_audit(spark, sf):
     bodies = F.array(*map(F.lit, ["(:", "assert True", "assert a or not a", "pass\ndef test_b(): pass", "assert a == 1"]))
     code = F.concat(F.lit("def test_"), F.col("event_id").cast("string"), F.lit("():\n    "), F.element_at(bodies, (F.col("event_id") % 5 + 1).cast("int")), F.lit("\n"))
     rows = table(spark, sf, "events").select("event_id", code.alias("code"))
-    return rows.select("event_id", pyast.audited(F.col("code"), F.lit("")).alias("problem"), pyast.selector_of(F.col("code")).alias("selector"), rules.framework(F.col("code"), F.lit("")).alias("framework"))
+    read = rows.select("event_id", pyast.audited_with_selector(F.col("code"), F.lit("")).alias("a"), rules.framework(F.col("code"), F.lit("")).alias("framework"))
+    return read.select("event_id", "a.problem", "a.selector", "framework")
 
 
 @query("SELECT event_id, 'x = ' || event_id || chr(10) AS new_text, '' AS problem FROM events")
@@ -571,5 +577,133 @@ def exact_once_replace(spark, sf):
     return rows.select("event_id", got.alias("r")).select("event_id", F.col("r.new").alias("new_text"), F.col("r.problem").alias("problem"))
 
 
+@query(
+    """SELECT event_id, '{"a":1}' AS known, 'not json ' || event_id AS raw, CASE WHEN event_id % 3 = 0 THEN '[' || event_id || ']' END AS value FROM events"""
+)
+def observation_raw(spark, sf):
+    """Of blocks that are no JSON the last is kept under 'raw', of values that are no objects the last under 'value'."""
+    n = F.col("event_id").cast("string")
+    block = lambda c: F.concat(F.lit("BRT_OBS_START "), c, F.lit(" BRT_OBS_END\n"))
+    log = F.concat(block(F.lit("broken")), block(F.lit('{"known": {"a": 1}}')), F.when(F.col("event_id") % 3 == 0, block(F.concat(F.lit("["), n, F.lit("]")))).otherwise(""), block(F.concat(F.lit("not json "), n)))
+    read = table(spark, sf, "events").select("event_id", json_values.merged_observations(log).alias("m"))
+    return read.select("event_id", "m.known", "m.raw", "m.value")
+
+
+@query(
+    r"""WITH r AS (SELECT c_custkey, ['astropy/astropy', 'matplotlib/matplotlib', 'django/django', 'matplotlib/matplotlib', 'a/new'][1 + (c_custkey % 5)::INT] AS repo, ['3.1', '3.5', '1'][1 + (c_custkey % 3)::INT] AS version FROM customer)
+SELECT c_custkey, CASE WHEN repo LIKE 'astropy%' THEN 'if [ -f pyproject.toml ]; then sed -i ''s/requires = \["setuptools",/requires = ["setuptools==68.0.0",/'' pyproject.toml; fi && python -m pip install --ignore-installed --no-deps -e ."[test]" --verbose'
+  WHEN repo LIKE 'matplotlib%' AND version = '3.1' THEN 'python setup.py build_ext --inplace' ELSE 'python -m pip install --ignore-installed --no-deps -e .' END AS setup FROM r"""
+)
+def setup_commands(spark, sf):
+    repos, versions = (F.array(*map(F.lit, x)) for x in (["astropy/astropy", "matplotlib/matplotlib", "django/django", "matplotlib/matplotlib", "a/new"], ["3.1", "3.5", "1"]))
+    pick = lambda a, n: F.element_at(a, (F.col("c_custkey") % n + 1).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", rules.setup_command(pick(repos, 5), pick(versions, 3)).alias("setup"))
+
+
+MODES = ["buggy_only", "patched_repo", "patch_file", "patch_text", "surrogate"]
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, {MODES}[1 + (event_id % 5)::INT] AS mode, event_id % 2 AS b, event_id // 2 % 2 AS p, event_id % 7 <> 0 AS has, event_id % 11 <> 0 AS applied FROM events),
+s AS (SELECT *, CASE WHEN mode = 'buggy_only' THEN 'BUGGY_ONLY' WHEN mode = 'surrogate' THEN 'NOT_IMPLEMENTED' WHEN NOT has THEN 'SETUP_ERROR' WHEN mode = 'patch_text' AND NOT applied THEN 'PATCH_APPLY_ERROR'
+  WHEN b = 0 THEN 'BUGGY_PASS' WHEN p = 0 THEN 'F2P_SUCCESS' ELSE 'PATCHED_FAIL' END AS status FROM e)
+SELECT event_id, status, CASE WHEN status <> 'SETUP_ERROR' THEN '' WHEN mode = 'patched_repo' THEN 'missing patched_repo_base' ELSE 'missing ' || mode END AS note FROM s"""
+)
+def pair_status(spark, sf):
+    n = F.col("event_id")
+    mode = F.element_at(F.array(*map(F.lit, MODES)), (n % 5 + 1).cast("int"))
+    got = rules.pair_status(mode, n % 2, F.floor(n / 2) % 2, n % 7 != 0, n % 11 != 0)
+    return table(spark, sf, "events").select("event_id", got.alias("s")).select("event_id", "s.*")
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, {PATH_SQL} AS path, page_id % 3 = 0 AS second FROM pages),
+r AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'empty' WHEN path = '' OR path LIKE '/%' THEN 'unsafe' WHEN second THEN 'test_file' ELSE '' END AS problem FROM p)
+SELECT page_id, problem, CASE WHEN problem = '' THEN 2 ELSE 0 END::INTEGER AS kept FROM r"""
+)
+def patch_list(spark, sf):
+    """One bad item refuses the whole list."""
+    path = F.regexp_extract("url", "^[a-z]+://[^/]*/(.*)$", 1)
+    item = lambda p: F.struct(p.alias("path"), F.lit("a").alias("search"), F.lit("b").alias("replace"))
+    items = F.array(item(path), item(F.when(F.col("page_id") % 3 == 0, "x/tests/y.py").otherwise("x/y.py")))
+    got = paths.patch_list(F.when(F.col("page_id") % 5 == 0, F.slice(items, 1, 0)).otherwise(items), F.lit("t.py"), F.array().cast("array<string>"))
+    return table(spark, sf, "pages").select("page_id", got.alias("g")).select("page_id", "g.problem", F.size("g.items").alias("kept"))
+
+
+@query(
+    """WITH r AS (SELECT c_custkey, ['a/seaborn', 'pytest-dev/pytest', '', 'x/none'][1 + (c_custkey % 4)::INT] AS repo, ['mwaskom__seaborn-1', 'pytest-dev__pytest-2', 'psf__requests-3', 'q__none-4'][1 + (c_custkey // 4 % 4)::INT] AS id FROM customer)
+SELECT c_custkey, CASE repo WHEN 'a/seaborn' THEN 'seaborn' WHEN 'pytest-dev/pytest' THEN 'pytest-dev__pytest'
+  WHEN '' THEN split_part(id, '__', 1).replace('mwaskom', 'seaborn').replace('pytest-dev', 'pytest').replace('psf', 'requests')
+  ELSE CASE WHEN id LIKE 'mwaskom%' THEN 'seaborn' ELSE 'none' END END AS folder FROM r"""
+)
+def repository_folder(spark, sf):
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % 4 + 1).cast("int"))
+    n = F.col("c_custkey")
+    repo, instance = pick(["a/seaborn", "pytest-dev/pytest", "", "x/none"], n), pick(["mwaskom__seaborn-1", "pytest-dev__pytest-2", "psf__requests-3", "q__none-4"], F.floor(n / 4))
+    return table(spark, sf, "customer").select("c_custkey", paths.repository_folder(repo, instance, F.array(F.lit("seaborn"), F.lit("pytest-dev__pytest"))).alias("folder"))
+
+
+@query("SELECT DISTINCT source AS instance_id FROM documents WHERE source <> 'src1' UNION SELECT 'q' || quality FROM labels WHERE quality IS NOT NULL")
+def requested_ids(spark, sf):
+    """No id is given, so all that are on disk or evaluated."""
+    docs = table(spark, sf, "documents").select(F.when(F.col("source") == "src1", "formal_eval").otherwise(F.col("source")).alias("instance_id"))
+    evaluated = table(spark, sf, "labels").select(F.concat(F.lit("q"), F.col("quality").cast("string")).alias("instance_id"))
+    return joins.requested_ids(docs.where("false"), docs, evaluated)
+
+
+@query(
+    """SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END, ''), lang) AS name, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'p' || doc_id END AS path, md5(text) AS content_md5 FROM documents"""
+)
+def code_hits(spark, sf):
+    """Fields of hits under any of their names; an empty one gives way to the next."""
+    docs = table(spark, sf, "documents")
+    row = F.struct(
+        F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source")).alias("obj_name"), F.col("lang").alias("name"), F.when(F.col("doc_id") % 3 == 0, F.lit(0)).alias("node_type"),
+        F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("p"), F.col("doc_id").cast("string"))).alias("path"), F.lit(None).cast("string").alias("code_content"), F.col("text").alias("code"),
+    )
+    hits = docs.select(F.col("doc_id").cast("string").alias("instance_id"), F.parse_json(F.to_json(row)).alias("row"), F.col("doc_id").alias("_pos"))
+    return records.code_hits(hits).select(F.col("_pos").alias("doc_id"), "name", "path", F.md5("content").alias("content_md5"))
+
+
+CUT_SQL = "CASE WHEN length({0}) <= {1} THEN {0} ELSE substr({0}, 1, {1} // 2) || chr(10) || '...[TRUNCATED]...' || chr(10) || right({0}, {1} - {1} // 2) END"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, '【源码片段 1】' || chr(10) || '文件路径：' || source || chr(10) || '对象名称：' || lang || chr(10) || '节点类型：' || chr(10) || '父节点：' || chr(10) || '行号范围：1-2' || chr(10) || '代码：' || chr(10) || text || chr(10) AS code,
+  '【相关测试 1】' || chr(10) || '测试文件：' || source || chr(10) || '测试名称：' || lang || chr(10) || '测试代码：' || chr(10) || text || chr(10) AS test FROM documents)
+SELECT doc_id, md5({CUT_SQL.format('code', 900)}) AS code_md5, md5({CUT_SQL.format('test', 18000)}) AS test_md5 FROM s"""
+)
+def hit_sections(spark, sf):
+    """Hits as numbered sections, shortened in the middle."""
+    items = F.array(F.struct(F.col("source").alias("path"), F.col("source").alias("file"), F.col("lang").alias("name"), F.lit("").alias("node_type"), F.lit("").alias("parent"), F.lit("1").alias("start"), F.lit("2").alias("end"), F.col("text").alias("content")))
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.source_sections(items, 900)).alias("code_md5"), F.md5(text.test_sections(items)).alias("test_md5"))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, text, CASE WHEN suffix(text, chr(10)) THEN string_split(left(text, -1), chr(10)) ELSE string_split(text, chr(10)) END AS lines FROM documents),
+p AS (SELECT doc_id, CASE WHEN length(text) <= 2000 THEN text WHEN doc_id % 5 = 0 THEN text ELSE array_to_string(list_slice(lines, greatest(doc_id % 40 - 3, 1), least(doc_id % 40 + 3 + 2, len(lines))), chr(10)) END AS part, length(text) <= 2000 AS whole FROM l)
+SELECT doc_id, md5(CASE WHEN whole THEN part ELSE {CUT_SQL.format("coalesce(part, '')", 900)} END) AS excerpt_md5 FROM p"""
+)
+def source_excerpt(spark, sf):
+    """The lines around a hit of a long source; the whole of a short one."""
+    start = F.when(F.col("doc_id") % 5 == 0, "none").otherwise((F.col("doc_id") % 40).cast("string"))
+    end = (F.col("doc_id") % 40 + 2).cast("string")
+    got = text.source_excerpt(F.col("text"), F.lit("own"), start, end, whole=2000, around=3, limit=900)
+    return table(spark, sf, "documents").select("doc_id", F.md5(got).alias("excerpt_md5"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS moment FROM events")
+def time_text(spark, sf):
+    return table(spark, sf, "events").select("event_id", text.time_text(F.col("ts")).alias("moment"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN [] ELSE ['cython==' || p_size, 'wheel'] END AS requirements FROM part")
+def build_requirements(spark, sf):
+    """Requirements of a build system, without those that an environment brings itself; none for text that does not parse."""
+    size = F.col("p_size").cast("string")
+    toml = F.concat(F.lit('[build-system]\nrequires = ["setuptools>=40", "cython=='), size, F.lit('", "Oldest_Supported_NumPy", "wheel"]'), F.when(F.col("p_size") % 4 == 0, " broken").otherwise(""))
+    return table(spark, sf, "part").select("p_partkey", pyast.build_requirements_of(toml).alias("requirements"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_record_status(spark, sf_dir)

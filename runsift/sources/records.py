@@ -10,7 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POSITION = "_pos"
+#: Column of a record's place; its parts are compared from left to right.
+POSITION, PLACE = "_pos", "struct<file string, block bigint, n bigint>"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; where none is named and all runs in one process, one of this process."""
+    import re
+    import tempfile
+
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return f"file://{tempfile.mkdtemp(prefix='streams-')}"
 
 
 def parsed(text: Column) -> Column:
@@ -36,8 +50,9 @@ def field(row: Column, name: str, kind: str = "string") -> Column:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, _pos): stripped lines that are not blank; _pos ascends within a file and by file."""
-    raw = spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"), F.monotonically_increasing_id().alias(POSITION))
+    """(line, _pos): stripped lines that are not blank; _pos orders by file name and by place in the file, however Spark deals out its parts."""
+    place = F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("n"))
+    raw = spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"), place.alias(POSITION))
     return raw.where("line <> ''")
 
 
@@ -58,7 +73,8 @@ def exploded(whole: DataFrame, text: str = "text") -> DataFrame:
     items = F.from_json(F.when(F.regexp_like(F.col(text), F.lit(r"^\s*\[")), F.col(text)), "array<variant>")
     named = entries(F.when(F.regexp_like(F.col(text), F.lit(r"^\s*\{")), F.col(text)))
     as_pairs = F.coalesce(F.transform(items, lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value"))), named)
-    return whole.select(F.posexplode(as_pairs).alias(POSITION, "pair")).select(F.col("pair.key").alias("key"), F.col("pair.value").alias("row"), F.col(POSITION).cast("long").alias(POSITION))
+    placed = F.struct("file", F.lit(0).cast("long").alias("block"), F.col("i").cast("long").alias("n")).alias(POSITION)
+    return whole.select("file", F.posexplode(as_pairs).alias("i", "pair")).select(F.col("pair.key").alias("key"), F.col("pair.value").alias("row"), placed)
 
 
 def _strict(df: DataFrame) -> DataFrame:
@@ -95,7 +111,7 @@ def load_rows(spark: SparkSession, path: str) -> DataFrame:
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return spark.createDataFrame([], f"instance_id string, row variant, {POSITION} long")
+            return spark.createDataFrame([], f"instance_id string, row variant, {POSITION} {PLACE}")
         as_id = F.parse_json(F.to_json(F.struct(F.col("line").alias("instance_id"))))
         rows = raw.select(F.coalesce(parsed(F.col("line")), as_id).alias("row"), POSITION).where(is_object(F.col("row")))
         return rows.select(field(F.col("row"), "instance_id").alias("instance_id"), "row", POSITION)
@@ -111,11 +127,49 @@ def load_hits(spark: SparkSession, path: str) -> DataFrame:
     rows = load_any(spark, path).withColumn("text", F.to_json("row"))
     items = F.from_json(F.when(is_array(F.col("row")), F.col("text")), "array<variant>")
     listed = F.transform(items, lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
-    flat = rows.where("key is null").select(field(F.col("row"), "instance_id").alias("instance_id"), "row", F.lit(None).cast("string").alias("name"), F.struct(F.col(POSITION), F.lit(0)).alias("o"))
+    flat = rows.where("key is null").select(field(F.col("row"), "instance_id").alias("instance_id"), "row", F.lit(None).cast("string").alias("name"), F.struct(F.col(POSITION).alias("at"), F.lit(0).alias("item")).alias("o"))
     nested = rows.where("key is not null").select("key", POSITION, F.posexplode(F.coalesce(listed, entries(F.when(is_object(F.col("row")), F.col("text"))))).alias("i", "pair"))
-    nested = nested.select(F.col("key").alias("instance_id"), F.col("pair.value").alias("row"), F.col("pair.key").alias("name"), F.struct(POSITION, F.col("i")).alias("o"))
+    nested = nested.select(F.col("key").alias("instance_id"), F.col("pair.value").alias("row"), F.col("pair.key").alias("name"), F.struct(F.col(POSITION).alias("at"), F.col("i").alias("item")).alias("o"))
     both = flat.union(nested).where(is_object(F.col("row")))
-    return both.select("instance_id", "row", F.coalesce("name", field(F.col("row"), "name")).alias("name"), (F.col("o")[POSITION] * 1_000_000 + F.col("o")["col2"]).alias(POSITION))
+    return both.select("instance_id", "row", F.coalesce("name", field(F.col("row"), "name")).alias("name"), F.col("o").alias(POSITION))
+
+
+#: JSON forms that count as no value.
+NOTHING = ("null", '""', "0", "0.0", "false", "[]", "{}")
+
+
+def first_field(row: Column, *names: str) -> Column:
+    """The first of the named fields that holds a value, as text; '' if none does."""
+    value = lambda name: F.when(~F.to_json(F.try_variant_get(row, f"$.{name}", "variant")).isin(*NOTHING), field(row, name))
+    return F.coalesce(*map(value, names), F.lit(""))
+
+
+def code_hits(hits: DataFrame) -> DataFrame:
+    """hits(instance_id, row, _pos) of source code with typed columns, each under any of its names."""
+    row = F.col("row")
+    return hits.select(
+        "instance_id",
+        POSITION,
+        first_field(row, "path").alias("path"),
+        first_field(row, "obj_name", "name").alias("name"),
+        first_field(row, "node_type").alias("node_type"),
+        first_field(row, "parent").alias("parent"),
+        F.coalesce(field(row, "code_start_line"), F.lit("")).alias("start"),
+        F.coalesce(field(row, "code_end_line"), F.lit("")).alias("end"),
+        first_field(row, "code_content", "content", "code").alias("content"),
+    )
+
+
+def test_hits(hits: DataFrame) -> DataFrame:
+    """hits(instance_id, row, _pos) of tests with typed columns, each under any of its names."""
+    row = F.col("row")
+    return hits.select(
+        "instance_id",
+        POSITION,
+        first_field(row, "file", "path").alias("file"),
+        first_field(row, "name", "test_name").alias("name"),
+        first_field(row, "code_content", "content", "code").alias("content"),
+    )
 
 
 def document_or(spark: SparkSession, path: str, default: str = "{}") -> DataFrame:

@@ -157,7 +157,7 @@ def test_json(spark):
     assert [r.o for r in df.select(json_values.json_object_lenient(F.col("t")).alias("o")).collect()] == ['{"a": 2}', None, None]
     log = 'BRT_OBS_START {"a":1} BRT_OBS_END BRT_OBS_START [2] BRT_OBS_END BRT_OBS_START bad BRT_OBS_END'
     assert one(spark, json_values.last_observation(F.lit(log), F.lit(""))) == {"value": "[2]"}
-    assert one(spark, json_values.merged_observations(F.lit(log))) == {"a": "1", "value": "[2]"}
+    assert one(spark, json_values.merged_observations(F.lit(log))) == {"a": "1", "value": "[2]", "raw": "bad"}
     assert one(spark, json_values.last_observation(F.lit(""), F.lit(""))) == {}
     plan = one(spark, json_values.normalized_plan(F.array(*map(F.lit, ["X", "OPERATOR_FLIP", "OPERATOR_FLIP"])), F.lit("HIGH")))
     assert (plan.mutation_ops, plan.risk) == (["OPERATOR_FLIP", "OPERATOR_FLIP"], "high")
@@ -232,3 +232,17 @@ def test_paths_of_candidates(spark):
     assert fail("x = 'ghost'", "ModuleNotFoundError: No module named 'ghost'") == "use_of_missing_module" and fail("", "<locals>", True) == "local_definitions"
     assert fail("ArrayField", 'near "[]": syntax error') == "array_field_table" and fail("call.run_manage()", "fetch_command KeyError:") == "command_not_registered"
     assert pyast.nested("def f():\n  class A: pass\n  def b(): pass") == "A, b"
+
+
+def test_bounded_report_and_build_requirements(spark):
+    short = one(spark, json_values.bounded_report(F.lit('{"a": 1}')))
+    assert short == '{"a": 1}' and one(spark, json_values.bounded_report(F.lit(None).cast("string"))) == "{}"
+    long = one(spark, json_values.bounded_report(F.lit("[" + ",".join(['"' + "x" * 3900 + '"'] * 9) + "]")))
+    assert long.startswith('{"truncated_json":') and len(long) < 21_000
+    assert pyast.build_requirements('[build-system]\nrequires = ["setuptools", "numpy==1", "Cython[x]>=3"]') == ["Cython[x]>=3"]
+    assert pyast.build_requirements("x = [") == pyast.build_requirements(None) == pyast.build_requirements("build-system = 1") == []
+
+
+def test_edit_sections_leave_out_items_without_a_path(spark):
+    items = F.array(*[F.struct(F.lit(p).alias("path"), F.lit("n").alias("name"), F.lit("1").alias("start"), F.lit("2").alias("end"), F.lit("c").alias("content")) for p in ("", "a.py")])
+    assert one(spark, text.edit_sections(items)) == "【允许修改源码 2】\npath: a.py\nobject: n\nlines: 1-2\ncode:\nc"

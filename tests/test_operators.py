@@ -25,8 +25,8 @@ def rows(df, *order):
 
 def test_issues_last_value_first_place(spark, tmp_path):
     p = write(tmp_path / "i.json", '[{"instance_id": "a", "v": 1}, {"instance_id": "b"}, 5, {"v": 3}, {"instance_id": ""}, {"instance_id": "a", "v": 2}]')
-    got = records.load_issues(spark, p).select("instance_id", records.field(F.col("row"), "v", "int").alias("v"), "_pos")
-    assert rows(got, "_pos") == [("a", 2, 0), ("b", None, 1)]
+    got = records.load_issues(spark, p).select("instance_id", records.field(F.col("row"), "v", "int").alias("v"), F.col("_pos.n"))
+    assert rows(got, "n") == [("a", 2, 0), ("b", None, 1)]
     p = write(tmp_path / "d.json", '{"x": {"v": 1}, "y": {"instance_id": "z"}, "w": 3}')
     assert rows(records.load_issues(spark, p).select("instance_id"), "instance_id") == [("x",), ("z",)]
 
@@ -228,3 +228,23 @@ def test_stream_equals_batch(spark, tmp_path):
     want = snapshot.status_totals(events.withColumn("ts", F.col("ts").cast("timestamp")))
     assert rows(got, "event_type") == rows(want, "event_type")
     assert snapshot.windowed_totals(events.withColumn("ts", F.col("ts").cast("timestamp"))).agg(F.sum("n")).first()[0] == 300
+
+
+def test_lines_are_ordered_by_file_and_place(spark, tmp_path):
+    for name in ("b", "a", "c"):
+        write(tmp_path / f"{name}.jsonl", "".join(f'{{"instance_id": "x", "v": "{name}{i}"}}\n' for i in range(300 if name == "a" else 2)))
+    got = records.lines(spark, f"{tmp_path}/*.jsonl").orderBy("_pos").collect()
+    assert [r.line[-5:-2].strip('"') for r in got][-4:] == ["b0", "b1", "c0", "c1"] and len(got) == 304
+    rows_ = records.lines(spark, f"{tmp_path}/*.jsonl").select(records.parsed(F.col("line")).alias("row"), "_pos")
+    last = ranking.last_wins(rows_.select(records.field(F.col("row"), "instance_id").alias("k"), records.field(F.col("row"), "v").alias("v"), "_pos"), ["k"], "_pos").first()
+    assert last.v == "c1" and last._pos.file.endswith("a.jsonl")
+
+
+def test_hits_under_other_names(spark, tmp_path):
+    p = write(tmp_path / "h.json", '{"i": [{"file": "", "path": "t.py", "test_name": "n", "code": "c"}, {"file": "u.py", "name": 0, "content": [], "code": "d"}]}')
+    assert rows(records.test_hits(records.load_hits(spark, p)).select("file", "name", "content"), "file") == [("t.py", "n", "c"), ("u.py", "", "d")]
+    given = spark.createDataFrame([("z",), ("a",), ("z",)], "instance_id string")
+    none = given.where("false")
+    found = spark.createDataFrame([("formal_eval",), ("b",), ("a",)], "instance_id string")
+    assert [r[0] for r in joins.requested_ids(given, found, none).collect()] == ["z", "a", "z"]
+    assert [r[0] for r in joins.requested_ids(none, found, found.where("instance_id = 'b'")).collect()] == ["a", "b"]
