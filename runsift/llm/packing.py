@@ -29,7 +29,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .token_counts import BYTE_SIGNS, load
+from .token_counts import BYTE_SIGNS, MARKS, load
 from .wordbag import Remembered
 
 SIZE, END_TOKEN = 4096, 2
@@ -58,21 +58,28 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
+        self.model = self.tokenizer.model
         self.words = Remembered(self.word, CACHE_LIMIT, LONG_PART)
         self.parts = Remembered(self.part, CACHE_LIMIT, LONG_PART)
 
     def part(self, letters: str) -> bytes:
         """Ids of one part that the pattern cut out, as little-endian unsigned 32-bit."""
         signs = letters if letters.isascii() else "".join([BYTE_SIGNS[b] for b in letters.encode()])
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(signs)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
 
     def word(self, word: str) -> bytes:
         """Ids of a word between white space; the last bears ENDS_HERE if a sentence ends there."""
         if PLAIN.fullmatch(word):
-            ids = b"".join(map(self.parts.__getitem__, PATTERN.findall(word.lower())))
+            low = word.lower()
+            if low.isalpha():  # one match of the pattern
+                ids = self.parts[low]
+            elif low[:-1].isalpha() and low[-1] in MARKS:
+                ids = self.parts[low[:-1]] + self.parts[low[-1]]
+            else:
+                ids = b"".join(map(self.parts.__getitem__, PATTERN.findall(low)))
         else:
             ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if ids and SENTENCE_END.search(word):
+        if ids and not word[-1].isalnum() and SENTENCE_END.search(word):
             ids = ids[:-4] + (int.from_bytes(ids[-4:], "little") | ENDS_HERE).to_bytes(4, "little")
         return ids
 

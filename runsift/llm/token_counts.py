@@ -45,6 +45,8 @@ STABLE = re.compile(r"(?<=\S) (?=\S)")
 ODD_SPACE = re.compile(r"\s | \s|\A | \Z")
 #: Parts on which every version of Unicode agrees: ASCII and the accented letters of Latin-1; not those that may hold a special string.
 PLAIN = re.compile(" ?[!-;=-~\xc0-\xd6\xd8-\xf6\xf8-\xff]{1,63}")
+#: Marks that the patterns cut off a word's end whatever the word is.
+MARKS = ".,;:!?"
 #: Fixed value: the byte-level pattern.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others for the signs from U+0100 on.
@@ -77,6 +79,7 @@ class Counter:
 
     def __init__(self, path: str, window: int = WINDOW, overlap: int = OVERLAP):
         self.tokenizer, self.window, self.overlap = load(path), window, overlap
+        self.model = self.tokenizer.model
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.margin = 8 + max(map(len, special), default=0)
         self.cut_by_pattern = all(t.startswith("<") for t in special)
@@ -85,10 +88,15 @@ class Counter:
 
     def match(self, letters: str) -> int:
         signs = "".join([BYTE_SIGNS[b] for b in letters.encode()])
-        return len(self.tokenizer.model.tokenize(signs))
+        return len(self.model.tokenize(signs))
 
     def part(self, part: str) -> int:
         if self.cut_by_pattern and PLAIN.fullmatch(part):
+            if part[1:].isalpha():  # one match of the pattern
+                if part[0] == " " or part[0].isalpha():
+                    return self.matches[part]
+            elif part[0] == " " and part[1:-1].isalpha() and part[-1] in MARKS:
+                return self.matches[part[:-1]] + self.matches[part[-1]]
             return sum(map(self.matches.__getitem__, PATTERN.findall(part)))
         return len(self.tokenizer.encode(part, add_special_tokens=False).ids)
 
