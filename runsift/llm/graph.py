@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to and read again from the shared folder.
+
+    For steps that follow one another, unlike checkpoint(), which keeps the estimated sizes of the plan: through the joins of each round they
+    grow to numbers of millions of digits, and planning takes minutes.  Files have their true size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def least_of(pairs: DataFrame, own: bool) -> DataFrame:
     """(a, m): the least b of each a of pairs(a, b), or a itself if ``own`` and that is less.
 
@@ -48,13 +60,13 @@ def components(edges: DataFrame) -> DataFrame:
     shuffles, which Spark's skew join splits.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    state = cut_lineage(pairs)
+    state = written(pairs)
     seen = None
     for _ in range(MAX_ROUNDS):
         both = state.union(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.where("b > a").join(least_of(both, True), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.join(least_of(large, False), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        state = cut_lineage(small.select("e.a", "e.b").where("a <> b").distinct())
+        state = written(small.select("e.a", "e.b").where("a <> b").distinct())
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

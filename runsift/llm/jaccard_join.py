@@ -2,10 +2,12 @@
 
 Documents are sets of hashed word n-grams.  Equal sets become one node with a multiplicity.
 MinHash bands bring nodes that share a band into candidate groups (components of the stars
-around each band bucket's smallest node, so a bucket of m nodes costs m edges).  Within a
-group, tiles of two blocks of nodes compare MinHash values STEP at a time; a pair is dropped
-once the posterior probability that its similarity reaches the threshold (uniform prior, so a
-Beta distribution) is below TOLERANCE, and every pair that is left is verified exactly.
+around each band bucket's smallest node, so a bucket of m nodes costs m edges).  Nodes are put
+in order of group and least bucket and cut into blocks of BLOCK; a tile is one block, or two
+blocks that hold nodes of one bucket, so a group costs what its buckets cost and not the square
+of its size.  Within a tile, pairs of one group compare MinHash values STEP at a time; a pair is
+dropped once the posterior probability that its similarity reaches the threshold (uniform prior,
+so a Beta distribution) is below TOLERANCE, and every pair that is left is verified exactly.
 
 Result: one row per document: class_id, the smallest doc_id of those it is linked with
 through a chain of pairs at or above the threshold, and n_links, the number of other
@@ -30,13 +32,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, cut_lineage
+from .graph import components, written
 from .wordbag import STEP as MULTIPLIER
 from .wordbag import in_slices, mixed
 
 WORDS, THRESHOLD = 5, (4, 5)
 BANDS, ROWS = 32, 6
 STEP, TOLERANCE = 16, 1e-6
+#: Nodes in a block, a power of two.
 BLOCK = 128
 WORD_LIMIT = 400_000
 #: From so many pairs on, a tile verifies by a matrix product instead of pair by pair.
@@ -146,17 +149,19 @@ def verified(sets_left: list, sets_right: list, i: np.ndarray, j: np.ndarray, th
 
 
 def tile_links(tile: pd.DataFrame) -> pd.DataFrame:
-    """For each node of a tile: (a, b, links): b the smallest node it is linked with in this tile, links of a counted with multiplicity."""
+    """For each node of a tile: (a, b, links, whole): b the smallest node it is linked with in this tile, links of a counted with multiplicity."""
     tile = tile.drop_duplicates("node").sort_values("node")  # rows of a node have equal sets
     first = tile.block == tile.lo.iloc[0]
     same = bool(tile.lo.iloc[0] == tile.hi.iloc[0])
     left = tile[first]
     right = left if same else tile[~first]
     if not len(right):
-        return pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
+        return pd.DataFrame({"a": [], "b": [], "links": [], "whole": []}).astype({"a": "int64", "b": "int64", "links": "int64", "whole": bool})
     signs = [np.stack([np.frombuffer(s, np.uint32) for s in side.signature]) for side in (left, right)]
     sets = [[np.frombuffer(s, np.uint64) for s in side.grams] for side in (left, right)]
     i, j = candidates(*signs, same)
+    together = left.root.to_numpy()[i] == right.root.to_numpy()[j]
+    i, j = i[together], j[together]
     good = verified(*sets, i, j)
     i, j = i[good], j[good]
     node_l, node_r, times_l, times_r = left.node.to_numpy(), right.node.to_numpy(), left.times.to_numpy(), right.times.to_numpy()
@@ -173,7 +178,7 @@ def tile_links(tile: pd.DataFrame) -> pd.DataFrame:
         np.minimum.at(root, at_r, low)
         root = root[root]
         if (root == before).all():
-            return pd.DataFrame({"a": nodes, "b": nodes[root], "links": links})
+            return pd.DataFrame({"a": nodes, "b": nodes[root], "links": links, "whole": tile.whole.to_numpy()})
 
 
 def described(docs: DataFrame, row_key: Column) -> DataFrame:
@@ -194,19 +199,47 @@ def described(docs: DataFrame, row_key: Column) -> DataFrame:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, measured_key, signature, grams) of documents with words."""
+    """(doc_id, measured_key, signature, grams) of documents with words; within a partition once for equal rows."""
 
     def measure(batches):
+        known = set()
         for pdf in batches:
             for start, part in in_slices(pdf.text.tolist()):
                 grams = [shingles(t) for t in part]
                 ids = pdf.doc_id.iloc[start : start + len(part)].tolist()
-                rows = [(i, xxhash.xxh3_128_digest(g.tobytes()), minhash(g).tobytes(), g.tobytes()) for i, g in zip(ids, grams) if len(g)]
+                rows = []
+                for i, g in zip(ids, grams):
+                    key = xxhash.xxh3_128_digest(g.tobytes())
+                    if len(g) and (i, key) not in known:
+                        known.add((i, key))
+                        rows.append((i, key, minhash(g).tobytes(), g.tobytes()))
                 yield pd.DataFrame(rows, columns=["doc_id", "measured_key", "signature", "grams"])
 
     return docs.mapInPandas(measure, "doc_id long, measured_key binary, signature binary, grams binary")
 
 
+def in_blocks(groups: DataFrame, held: DataFrame) -> DataFrame:
+    """(node, root, block, whole): up to BLOCK neighbours in order of (root, least bucket, node) make a block; whole: all of the root's nodes are in one.
+
+    A range of rows makes a partition, so a hot root or bucket is spread over many.
+    """
+    order = ["root", "key", "node"]
+    keyed = groups.join(held.groupBy("node").agg(F.min("bucket").alias("key")), "node")
+    number = F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1).alias("block")
+    placed = written(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("node", "root", number))
+    whole = placed.groupBy("root").agg((F.min("block") == F.max("block")).alias("whole"))
+    return placed.join(whole, "root").select("node", "root", "block", "whole")
+
+
+def block_pairs(placed: DataFrame, held: DataFrame) -> DataFrame:
+    """(block, lo, hi), once for each end, for pairs of different blocks that hold nodes of one bucket."""
+    spread = placed.where("not whole").select("node", "block").join(held.select("node", "bucket"), "node")
+    spread = written(spread.select("bucket", "block").distinct())
+    ends = spread.withColumnRenamed("block", "lo").join(spread.withColumnRenamed("block", "hi"), "bucket")
+    pairs = ends.where("lo < hi").select("lo", "hi").distinct()
+    return pairs.select(F.explode(F.array("lo", "hi")).alias("block"), "lo", "hi")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_links) for every row of docs(doc_id, text)."""
     return join_rows(docs, F.lit(None)).drop("row_key")
@@ -214,34 +247,26 @@ def join(docs: DataFrame) -> DataFrame:
 
 def join_rows(docs: DataFrame, row_key: Column) -> DataFrame:
     """(doc_id, row_key, class_id, n_links) for every row of docs(doc_id, text); row_key tells rows of one doc_id apart."""
-    seen = cut_lineage(described(docs, row_key))
+    seen = written(described(docs, row_key))
     usable = seen.where("doc_id is not null and set_key is not null")
     nodes = usable.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"), F.first("bands").alias("bands"))
-    # Different sets may have the same smallest doc_id, so nodes have numbers of their own, fixed by the checkpoint.
-    nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
+    # Different sets may have the same smallest doc_id, so nodes have numbers of their own, fixed by the written table.
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket", "low")
-    stars = buckets.join(shared, "bucket").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    groups = components(stars)
-
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "root").join(nodes.select("node", "first", "set_key", "times"), "node")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed.select(F.col("first").alias("doc_id")).distinct(), "doc_id")
-    members = placed.join(measured(texts), (F.col("first") == F.col("doc_id")) & (F.col("set_key") == F.col("measured_key")))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = (
-        members.select("root", "blocks", "node", "times", "block", "signature", "grams", other)
-        .withColumn("lo", F.least("block", "other"))
-        .withColumn("hi", F.greatest("block", "other"))
-        .select("root", "blocks", "lo", "hi", "block", "node", "times", "signature", "grams")
-    )
-
-    def link(tile: pd.DataFrame) -> pd.DataFrame:
-        return tile_links(tile).assign(whole=bool(tile.blocks.iloc[0] == 1))
-
-    linked = cut_lineage(tiles.groupBy("root", "lo", "hi").applyInPandas(link, "a long, b long, links long, whole boolean"))
+    held = written(buckets.join(shared, "bucket").select("bucket", "node", "low"))
+    placed = in_blocks(components(held.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))), held)
+    alone = placed.select("node", "root", "whole", "block", F.col("block").alias("lo"), F.col("block").alias("hi"))
+    tiles = placed.where("not whole").join(block_pairs(placed, held), "block").select(alone.columns).union(alone)
+
+    # The light rows of the tiles meet the n-grams last, so that each text is measured once.
+    tiles = tiles.join(nodes.select("node", "first", "set_key", "times"), "node")
+    firsts = placed.select("node").join(nodes.select("node", F.col("first").alias("doc_id")), "node").select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(firsts, "doc_id")
+    members = tiles.join(measured(texts), (F.col("first") == F.col("doc_id")) & (F.col("set_key") == F.col("measured_key")))
+    members = members.select("root", "whole", "lo", "hi", "block", "node", "times", "signature", "grams")
+    linked = written(members.groupBy("lo", "hi").applyInPandas(tile_links, "a long, b long, links long, whole boolean"))
 
     split = components(linked.where("not whole").select("a", "b"))
     roots = linked.where("whole and a <> b").select(F.col("a").alias("node"), F.col("b").alias("root")).union(split)

@@ -182,6 +182,24 @@ def test_join_and_pipeline_stage_of_repeated_ids_with_other_texts(spark):
     assert sorted(map(tuple, left.collect()), key=str) == sorted([r for i, r in enumerate(rows) if i not in (3, 4, 6, 8)], key=str) and left.columns == df.columns
 
 
+def test_join_of_a_long_chain_meets_only_blocks_that_share_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    seen = []
+    pairs = jaccard_join.block_pairs
+
+    def counted(placed, held):
+        out = pairs(placed, held)
+        seen.append((placed.select("block").distinct().count(), placed.where("whole").count(), out.count() // 2))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "block_pairs", counted)
+    rows = [(k, " ".join(f"z{j}" for j in range(4 * k, 4 * k + 90))) for k in range(120)]
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == plain_join(rows)
+    blocks, whole, met = seen[0]
+    assert blocks >= 30 and whole == 0 and met < blocks * (blocks - 1) // 4
+
+
 def test_join_of_nothing(spark):
     assert jaccard_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
