@@ -41,6 +41,8 @@ BANDS, ROWS = 32, 6
 STEP, TOLERANCE = 16, 1e-6
 #: Nodes in a block, a power of two.
 BLOCK = 128
+#: Blocks in a partition while they are numbered; more where there are more nodes than partitions.
+PARTITION_BLOCKS = 64
 WORD_LIMIT = 400_000
 #: From so many pairs on, a tile verifies by a matrix product instead of pair by pair.
 MANY_PAIRS = 400
@@ -221,12 +223,14 @@ def measured(docs: DataFrame) -> DataFrame:
 def in_blocks(groups: DataFrame, held: DataFrame) -> DataFrame:
     """(node, root, block, whole): up to BLOCK neighbours in order of (root, least bucket, node) make a block; whole: all of the root's nodes are in one.
 
-    A range of rows makes a partition, so a hot root or bucket is spread over many.
+    A range of rows makes a partition, so a hot root or bucket is spread over many; partitions hold many blocks, so that few blocks are not full.
     """
     order = ["root", "key", "node"]
+    most = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(groups.count() // (PARTITION_BLOCKS * BLOCK) + 1, most)
     keyed = groups.join(held.groupBy("node").agg(F.min("bucket").alias("key")), "node")
     number = F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1).alias("block")
-    placed = written(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("node", "root", number))
+    placed = written(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("node", "root", number))
     whole = placed.groupBy("root").agg((F.min("block") == F.max("block")).alias("whole"))
     return placed.join(whole, "root").select("node", "root", "block", "whole")
 
