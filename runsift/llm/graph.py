@@ -34,8 +34,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """df written to and read again from the shared folder.
 
-    For steps that follow one another, unlike checkpoint(), which keeps the estimated sizes of the plan: through the joins of each round they
-    grow to numbers of millions of digits, and planning takes minutes.  Files have their true size.
+    For steps that follow one another: with checkpoint() the planning of each round took several times as long as that
+    of the round before, presumably as it keeps the plan's estimated sizes, which joins multiply.
     """
     path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
