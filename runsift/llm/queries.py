@@ -1,12 +1,14 @@
-"""The registered queries of the ten operators, each over its whole table."""
+"""The registered queries of the operators, each over its whole table."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, html_text, jaccard_join, packing, quality, sentence_pieces, token_counts, topk, toxicity, url_filter
-
+from . import hard_negatives, hnsw, html_text, jaccard_join, packing, quality, sentence_pieces, token_counts, token_files, topk, toxicity, url_filter, vector_codes
+from .graph import shared_folder
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -121,9 +123,40 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), folder, 2)
+    return token_files.digest(token_files.read(spark, folder))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH e AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM e a JOIN e c ON len(a.v) = len(c.v) AND a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS k
+  FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 100 * s.score BETWEEN 50 * positive_score AND 95 * positive_score)
+SELECT anchor_id, positive_id, k::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 3"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_url_filter, op3_nearest_neighbours, op4_html_text, op5_packing, op6_sentence_pieces, op7_jaccard_join, op8_exact_top_k, op9_toxicity, op10_token_counts)}
+    first = (op1_quality, op2_url_filter, op3_nearest_neighbours, op4_html_text, op5_packing, op6_sentence_pieces, op7_jaccard_join)
+    return {f.__name__: f for f in (*first, op8_exact_top_k, op9_toxicity, op10_token_counts, op11_token_files, op12_hard_negatives, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op8_exact_top_k": OP8_SQL}
+    return {"op2_url_filter": OP2_SQL, "op8_exact_top_k": OP8_SQL, "op12_hard_negatives": OP12_SQL, "op13_vector_codes": vector_codes.SQL}

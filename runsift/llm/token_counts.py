@@ -111,8 +111,12 @@ class Counter:
 
     def spliced(self, text: str) -> int:
         """Tokens of a text longer than a window."""
-        total, end = 0, min(self.window, len(text))
-        anchor, counted = 0, 0  # the last splice at which a match of the pattern begins, and the tokens before it
+        return len(self.spliced_ids(text))
+
+    def spliced_ids(self, text: str) -> np.ndarray:
+        done: list[np.ndarray] = []
+        end = min(self.window, len(text))
+        anchor, kept = 0, 0  # the last splice at which a match of the pattern begins, and how many parts lie before it
         left = self.tokens(text, 0, end)
         while end < len(text):
             overlap = self.overlap
@@ -121,20 +125,21 @@ class Counter:
                 stop = min(len(text), end + self.window - overlap)
                 if start <= left.start[0]:  # no common boundary: all from the anchor on as one
                     stop = min(len(text), end + self.window)
-                    total, left = counted, self.tokens(text, anchor, stop)
+                    del done[kept:]
+                    left = self.tokens(text, anchor, stop)
                     break
                 right = self.tokens(text, start, stop)
                 both = common_boundary(left, right, start, end, self.margin)
                 if both:
                     i, j = both
-                    total += i
+                    done.append(left.ids[:i])
                     if left.new[i] and right.new[j]:
-                        anchor, counted = int(right.start[j]), total
+                        anchor, kept = int(right.start[j]), len(done)
                     left = right.after(j)
                     break
                 overlap *= 2
             end = stop
-        return total + len(left.ids)
+        return np.concatenate([*done, left.ids])
 
 
 def boundary_before(w: Window, at: int) -> int:
