@@ -56,17 +56,16 @@ tok AS (
   SELECT DISTINCT page_id, host, path, unnest(list_concat(list_transform(string_split(host, '.'), lambda x: 'h:' || x),
     list_transform(string_split(path, '/'), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '#', 'g')))) AS t FROM hp),
 tokens AS (SELECT * FROM tok WHERE length(t) > 2),
+urls AS (SELECT page_id, list(t ORDER BY t) AS ts FROM tokens GROUP BY page_id),
 labelled AS (
-  SELECT doc_id AS page_id, CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN toxic IS NOT NULL AND quality IS NOT NULL THEN 0 END AS label FROM labels
-  WHERE doc_id IN (SELECT page_id FROM tokens)),
-n AS (SELECT count(*) AS n FROM labelled WHERE label IS NOT NULL),
-sets AS (
-  SELECT a.page_id, [a.t] AS s FROM tokens a UNION ALL
-  SELECT a.page_id, [a.t, b.t] AS s FROM tokens a JOIN tokens b ON a.page_id = b.page_id AND a.t < b.t),
-rules AS (
-  SELECT s FROM sets JOIN labelled USING (page_id), n WHERE label IS NOT NULL GROUP BY s, n
-  HAVING sum(label) >= greatest(ceil(0.02 * n), 20) AND sum(label) >= 0.6 * count(*)),
-hit AS (SELECT DISTINCT page_id FROM sets WHERE s IN (SELECT s FROM rules))
+  SELECT page_id, ts, CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN toxic IS NOT NULL AND quality IS NOT NULL THEN 0 END AS label FROM labels JOIN urls ON doc_id = page_id),
+good AS (SELECT unnest(ts) AS t FROM labelled WHERE label = 1 GROUP BY t HAVING count(*) >= 20),
+frequent AS (SELECT list(t) AS f FROM good),
+parts AS (SELECT list_filter(ts, lambda x: list_contains(f, x)) AS p FROM labelled, frequent WHERE label = 1),
+sets AS (SELECT list_filter(p, lambda x, i: (m >> (i - 1)) & 1 = 1) AS s FROM (SELECT p, unnest(range(1, (1 << len(p))::BIGINT)) AS m FROM parts)),
+candidates AS (SELECT s, count(*) AS n1 FROM sets GROUP BY s HAVING count(*) >= 20),
+rules AS (SELECT s FROM candidates LEFT JOIN labelled ON label = 0 AND list_has_all(ts, s) GROUP BY s, n1 HAVING n1 >= 0.6 * (n1 + count(label))),
+hit AS (SELECT DISTINCT page_id FROM urls JOIN rules ON list_has_all(ts, s))
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
        WHEN page_id IN (SELECT page_id FROM hit) THEN 'block' ELSE 'allow' END AS verdict

@@ -182,22 +182,69 @@ def test_join_and_pipeline_stage_of_repeated_ids_with_other_texts(spark):
     assert sorted(map(tuple, left.collect()), key=str) == sorted([r for i, r in enumerate(rows) if i not in (3, 4, 6, 8)], key=str) and left.columns == df.columns
 
 
-def test_join_of_a_long_chain_meets_only_blocks_that_share_a_bucket(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
-    seen = []
-    pairs = jaccard_join.block_pairs
+def chain(n):
+    return [(k, " ".join(f"z{j}" for j in range(4 * k, 4 * k + 90))) for k in range(n)]
 
-    def counted(placed, held):
-        out = pairs(placed, held)
-        seen.append((placed.select("block").distinct().count(), placed.where("whole").count(), out.count() // 2))
-        return out
 
-    monkeypatch.setattr(jaccard_join, "block_pairs", counted)
-    rows = [(k, " ".join(f"z{j}" for j in range(4 * k, 4 * k + 90))) for k in range(120)]
+def test_join_of_a_chain_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rows = chain(120)
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == plain_join(rows)
-    blocks, whole, met = seen[0]
-    assert blocks >= 30 and whole == 0 and met < blocks * (blocks - 1) // 4
+
+
+def nodes_of(spark, rows):
+    seen = jaccard_join.described(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(None))
+    nodes = seen.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"), F.first("bands").alias("bands"), F.first("cells").alias("cells"))
+    return graph.written(nodes.withColumn("node", F.monotonically_increasing_id()))
+
+
+def pairs_met(tiles):
+    """Pairs that are compared in tiles, by the sizes of their sides."""
+    sides = tiles.distinct().groupBy("key", "band", "lo", "hi").agg(F.count_if(F.col("side") == F.col("lo")).alias("a"), F.count_if(F.col("side") == F.col("hi")).alias("b"))
+    return sides.agg(F.sum(F.when(F.col("lo") == F.col("hi"), F.col("a") * (F.col("a") - 1) / 2).otherwise(F.col("a") * F.col("b")))).first()[0] or 0
+
+
+def test_a_long_chain_compares_the_pairs_of_its_buckets_and_not_of_all_its_nodes(spark):
+    nodes = nodes_of(spark, chain(4000))
+    by_root, by_bucket = jaccard_join.planned(nodes, [])
+    assert by_root.count() == 0
+    members = {}
+    for r in nodes.select("node", F.explode("bands").alias("bucket")).collect():
+        members.setdefault(r.bucket, []).append(r.node)
+    share = sum(len(m) * (len(m) - 1) // 2 for m in {tuple(sorted(m)) for m in members.values() if len(m) > 1})
+    assert pairs_met(by_bucket) == share < 0.02 * 4000 * 3999 / 2
+
+
+def test_a_dense_group_is_compared_once_and_cut_by_nodes_and_by_length(spark, monkeypatch):
+    base = [f"w{j}" for j in range(300)]
+    rows = [(k, " ".join(base[:k] + [f"v{k}"] + base[k + 1 :])) for k in range(290)]
+    nodes = nodes_of(spark, rows)
+    by_root, by_bucket = jaccard_join.planned(nodes, [])
+    assert by_bucket.count() == 0 and pairs_met(by_root) == 290 * 289 // 2
+    assert by_root.select("side").distinct().count() == 3 and not by_root.first().whole
+    monkeypatch.setattr(jaccard_join, "CELLS", 296 * 20)
+    cut, _ = jaccard_join.planned(nodes, [])
+    assert cut.select("side").distinct().count() == 15 and pairs_met(cut) == 290 * 289 // 2
+
+
+def test_join_keeps_ids_beside_nulls_exact_and_their_links(spark):
+    import corpus_pipeline
+
+    big = (1 << 53) + 1
+    text = " ".join(f"q{j}" for j in range(80))
+    rows = [(big, text), (big + 2, text + " one"), (big + 4, text + " two"), (None, text), (5, "other words in here only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.join(df).collect()), key=str)
+    assert got == plain_join(rows) and (big, big, 2) in got
+    left = corpus_pipeline.keep_one_of_each_group(spark, df, "")
+    assert sorted((r.doc_id for r in left.collect()), key=str) == sorted([big, None, 5], key=str)
+
+
+def test_join_removes_the_tables_of_its_steps(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(graph, "shared_folder", lambda _: f"file://{tmp_path}")
+    assert jaccard_join.join(spark.createDataFrame(chain(20), "doc_id long, text string")).count() == 20
+    assert len(list(tmp_path.iterdir())) == 1  # the result's own
 
 
 def test_join_of_nothing(spark):
@@ -277,7 +324,27 @@ def test_mined_rules_of_any_size_and_of_rare_hosts(spark):
         fits = [label for t, label in rows if s <= set(t)]
         if sum(fits) >= 20 and sum(fits) >= 0.6 * len(fits):
             sets.add(tuple(sorted(s)))
-    assert {tuple(r.rule_tokens) for r in mined.collect()} == sets and ("h:a", "h:b", "p:x") in sets and ("h:rare",) in sets
+    least = {s for s in sets if not any(set(t) < set(s) for t in sets)}  # a set with a part that is a rule adds nothing
+    assert {tuple(r.rule_tokens) for r in mined.collect()} == least and ("h:a", "h:b", "p:x") in least and ("h:rare",) in least
+
+
+def test_a_long_path_that_recurs_gives_few_rules(spark):
+    names = [f"p:part{chr(97 + k)}" for k in range(17)]
+    rows = [(["h:host", *names], 1)] * 40 + [(["h:host", f"p:{i}"], 0) for i in range(200)] + [([names[0], names[1]], 0)] * 100 + [([names[0], f"p:y{i}"], 0) for i in range(90)]
+    mined = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, label int")).collect()
+    rules = {tuple(r.rule_tokens): [set(c) for c in r.choices] for r in mined}
+    host = {"h:host"}
+    assert rules == {("p:partc",): [set(names[2:])], ("h:host", "p:parta"): [host, {names[0]}], ("h:host", "p:partb"): [host, {names[1]}]} and len(mined) == 17
+
+
+def test_a_rule_of_three_items_with_any_of_their_tokens_blocks(spark):
+    two = ["p:u", "p:v"]  # always together
+    bad = [["h:a", "h:b", *two, f"p:{i}"] for i in range(30)]
+    fine = [[*pair, f"p:{i}"] for i in range(30) for pair in (["h:a", "h:b"], ["h:a", *two], ["h:b", *two])]
+    mined = url_filter.mine(spark.createDataFrame([(t, 1) for t in bad] + [(t, 0) for t in fine], "tokens array<string>, label int"))
+    assert {tuple(r.rule_tokens) for r in mined.collect()} == {("h:a", "h:b", "p:u")}
+    urls = spark.createDataFrame([(1, "http://a.b/v"), (2, "http://a.b/u"), (3, "http://a.b/w"), (4, "http://a.c/u")], "page_id long, url string")
+    assert [(r.page_id, r.verdict) for r in url_filter.judge(urls, [], mined).orderBy("page_id").collect()] == [(1, "block"), (2, "block"), (3, "allow"), (4, "allow")]
 
 
 # -- HTML

@@ -148,7 +148,7 @@ def test_flushed_stream_gives_whole_documents(spark, monkeypatch):
         stream.add(i, ids + (2).to_bytes(4, "little"), ends)
         rows += stream.pieces(False)
     rows += stream.pieces(True)
-    check_packed(packing.frame(rows).itertuples(), texts, 64)
+    check_packed(packing.batch_of(rows).to_pandas().itertuples(), texts, 64)
     assert packing.pack(docs_of(spark, []), P.path("word_bpe_49k.json")).count() == 0
 
 
@@ -285,3 +285,39 @@ def test_quality_gradient_is_that_of_the_likelihood():
 def test_counts_are_in_jvm_bytes(spark):
     row = docs_of(spark, ["é"]).select(F.octet_length("text").alias("n")).first()
     assert row.n == 2
+
+
+# -- packing in portions
+
+
+def documents_of(r, n):
+    for k in range(n):
+        length = r.randint(1, r.choice([10, 300, 900]))
+        ends = np.unique(np.array([r.randint(0, length) for _ in range(r.choice([0, length // 20]))], np.int64))
+        yield k, np.array([r.randint(0, 9) for _ in range(length)], "<u4").tobytes(), ends
+
+
+def test_cuts_do_not_depend_on_when_they_are_settled():
+    import random
+
+    r = random.Random(8)
+    for _ in range(60):
+        size = r.choice([256, 512])
+        whole, parts, got, held = packing.Stream(0, size), packing.Stream(0, size), [], 0
+        for doc in documents_of(r, r.randint(1, 120)):
+            whole.add(*doc)
+            parts.add(*doc)
+            if r.random() < 0.3:
+                got += parts.pieces(False)
+                held = max(held, parts.cutter.place[-1] - parts.cutter.place[0])
+        assert got + parts.pieces(True) == whole.pieces(True)
+    assert held < 100 * 512
+
+
+def test_packing_keeps_ids_beside_nulls_exact(spark):
+    P = pytest.importorskip("public_tokenizers")
+    big = (1 << 53) + 1
+    rows = [(big, "one two", 1), (None, "three", 2), (big + 2, None, 3), (5, "", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start long").coalesce(1)
+    got = packing.pack(docs, P.path("word_bpe_49k.json")).collect()
+    assert sorted({r.doc_id for r in got}, key=str) == sorted([big, None, big + 2, 5], key=str)
