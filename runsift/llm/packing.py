@@ -198,7 +198,7 @@ class Stream:
     """Documents in order; gives packed pieces whenever cuts are settled."""
 
     def __init__(self, first_sequence: int, size: int):
-        self.sequence, self.cutter = first_sequence, Cutter(size)
+        self.sequence, self.size, self.cutter = first_sequence, size, Cutter(size)
         # Documents with tokens behind the last settled cut: (doc_id, ids, begin in the stream); those not yet given to the cutter.
         self.docs, self.new, self.tokens, self.fed = [], [], 0, 0
 
