@@ -20,6 +20,7 @@ doc_id and the text are not written; an empty table makes files without rows.
 
 from __future__ import annotations
 
+import re
 from array import array
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .token_counts import BYTE_SIGNS, CACHE_LIMIT, LONG_PART, MARKS, PATTERN, PLAIN, Counter, stable_parts
+from .token_counts import BYTE_SIGNS, CACHE_LIMIT, LONG_PART, MARKS, PATTERN, Counter, stable_parts
 from .wordbag import Remembered
 
 #: A segment is closed from so many ids on.
@@ -39,6 +40,12 @@ READ_BATCH = 1 << 20
 COLUMNS = "part int, segment int, begin long, doc_ids array<long>, ends array<long>, ids binary"
 
 
+#: Parts that the pattern cuts alike in every version: as for counting, with line feeds inside.
+PLAIN = re.compile(" ?[!-;=-~\xc0-\xd6\xd8-\xf6\xf8-\xff\n]{1,63}")
+#: Bytes, as characters of Latin-1, by their signs in the vocabulary.
+SIGNS = {b: sign for b, sign in BYTE_SIGNS.items() if chr(b) != sign}
+
+
 class Encoder(Counter):
     """Ids of whole texts as little-endian unsigned 32-bit; made once a worker.
 
@@ -51,16 +58,17 @@ class Encoder(Counter):
         self.matches = Remembered(self.match, CACHE_LIMIT, LONG_PART)
 
     def match(self, letters: str) -> bytes:
-        signs = "".join([BYTE_SIGNS[b] for b in letters.encode()])
+        """Ids of one match of the pattern."""
+        signs = letters.replace(" ", SIGNS[32]) if letters.isascii() and letters.isprintable() else letters.encode().decode("latin-1").translate(SIGNS)
         return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
 
     def part(self, part: str) -> bytes:
         if self.cut_by_pattern and PLAIN.fullmatch(part):
             if part[1:].isalpha():  # one match of the pattern
                 if part[0] == " " or part[0].isalpha():
-                    return self.matches[part]
+                    return self.match(part)
             elif part[0] == " " and part[1:-1].isalpha() and part[-1] in MARKS:
-                return self.matches[part[:-1]] + self.matches[part[-1]]
+                return self.known[part[:-1]] + self.matches[part[-1]]
             return b"".join(map(self.matches.__getitem__, PATTERN.findall(part)))
         if len(part) > self.window:
             return self.spliced_ids(part).astype("<u4").tobytes()
