@@ -33,7 +33,7 @@ from .graph import written
 
 SCALE = 256
 #: Rows of a block and anchors of one; a chunk has CHUNK components, or a sixteenth of longer vectors.
-ROWS, ANCHORS, CHUNK, MOST_CHUNKS = 4096, 256, 32, 16
+ROWS, ANCHORS, CHUNK, MOST_CHUNKS = 2048, 256, 32, 16
 #: An anchor's positives, negatives of each, and the window: LOW / OF to HIGH / OF of the positive's score.
 POSITIVES, NEGATIVES, LOW, HIGH, OF = 5, 3, 50, 95, 100
 #: No score: less than any that is allowed.
