@@ -39,7 +39,9 @@ def last_wins(df: DataFrame, keys: list[str], position: str) -> DataFrame:
 def best_by(df: DataFrame, keys: list[str], value: Column, position: str) -> DataFrame:
     """The row of the largest value; of equal ones that with the smallest position."""
     rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(value, -F.col(position))).alias("_row"))
+    # The value is turned, not the position, which may be of any type that has an order; a null value comes last.
+    order = F.struct(value.isNull().alias("none"), (-value).alias("value"), F.col(position).alias("at"))
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row"))
     return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 

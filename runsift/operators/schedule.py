@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import numbered_rows
+
 
 def interleaved(df: DataFrame, group: str, position: str) -> DataFrame:
-    """df with ``turn`` and ``first``: ordered by both, the groups take turns, each in its own order."""
-    own = Window.partitionBy(group)
-    return df.withColumns({"turn": F.row_number().over(own.orderBy(position)), "first": F.min(position).over(own)})
+    """df with ``turn`` and ``first``: ordered by both, the groups take turns, each in its own order; a group may hold most of the rows."""
+    return numbered_rows(df, [group], [position], "turn", {"first": position})
+
+
+def grouped_by(df: DataFrame, instance: str, group: str) -> DataFrame:
+    """df with ``turns_with``: its group, or its own id where the group is null or empty, so that it waits for no other."""
+    return df.withColumn("turns_with", F.coalesce(F.nullif(F.col(group), F.lit("")), F.col(instance)))
 
 
 def packed_groups(sizes: DataFrame, workers: int, group: str = "grp", size: str = "n", position: str = "first") -> DataFrame:
@@ -17,7 +23,7 @@ def packed_groups(sizes: DataFrame, workers: int, group: str = "grp", size: str
 
     Only the sizes of the groups meet in one place; the rows of the groups do not.
     """
-    item = F.struct((-F.col(size)).alias("minus"), F.col(position).cast("long").alias("first"), F.col(group).alias("key"))
+    item = F.struct((-F.col(size)).alias("minus"), F.col(position).alias("first"), F.col(group).alias("key"))
     items = sizes.groupBy().agg(F.array_sort(F.collect_list(item)).alias("items"))
     start = F.struct(F.array_repeat(F.lit(0).cast("long"), workers).alias("loads"), F.array().cast("array<int>").alias("chosen"))
 
@@ -35,7 +41,8 @@ def dealt(df: DataFrame, plan: DataFrame, group: str) -> DataFrame:
     return df.join(plan.select(group, "worker"), group)
 
 
-MODES = ("full", "generation", "evaluation", "export")
+STEPS = ("generation", "evaluation", "export")
+MODES = ("full", *STEPS)
 
 
 def steps_of(mode: str, resume: bool, exists: bool, done: set[str]) -> list[str]:
@@ -44,5 +51,5 @@ def steps_of(mode: str, resume: bool, exists: bool, done: set[str]) -> list[str]
         raise ValueError(f"unknown mode {mode}")
     if exists and not resume and mode in ("full", "generation"):
         raise FileExistsError("the run exists; resume it or name another")
-    steps = ["generation", "evaluation", "export"] if mode == "full" else [mode]
+    steps = list(STEPS) if mode == "full" else [mode]
     return [s for s in steps if s not in done or s == "export"]

@@ -10,23 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import shared_folder  # noqa: F401
+
 #: Column of a record's place; its parts are compared from left to right.
 POSITION, PLACE = "_pos", "struct<file string, block bigint, n bigint>"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where none is named and all runs in one process, one of this process."""
-    import re
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-    return f"file://{tempfile.mkdtemp(prefix='streams-')}"
-
-
 def parsed(text: Column) -> Column:
     return F.try_parse_json(text)
 
@@ -144,8 +133,16 @@ def first_field(row: Column, *names: str) -> Column:
     return F.coalesce(*map(value, names), F.lit(""))
 
 
+def raw_code_key(row: Column) -> Column:
+    """The key of a code hit as it stands, as JSON texts: path, name, first and last line; a missing field is '', but null and 5 and "5" differ."""
+    value = lambda name: F.to_json(F.try_variant_get(row, f"$.{name}", "variant"))
+    text = lambda c: F.coalesce(c, F.lit('""'))
+    named = F.when(~value("obj_name").isin(*NOTHING), value("obj_name")).otherwise(text(value("name")))
+    return F.array(text(value("path")), named, text(value("code_start_line")), text(value("code_end_line")))
+
+
 def code_hits(hits: DataFrame) -> DataFrame:
-    """hits(instance_id, row, _pos) of source code with typed columns, each under any of its names."""
+    """hits(instance_id, row, _pos) of source code with typed columns, each under any of its names, and the raw ``key`` that tells hits apart."""
     row = F.col("row")
     return hits.select(
         "instance_id",
@@ -157,6 +154,7 @@ def code_hits(hits: DataFrame) -> DataFrame:
         F.coalesce(field(row, "code_start_line"), F.lit("")).alias("start"),
         F.coalesce(field(row, "code_end_line"), F.lit("")).alias("end"),
         first_field(row, "code_content", "content", "code").alias("content"),
+        raw_code_key(row).alias("key"),
     )
 
 
