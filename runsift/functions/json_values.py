@@ -12,9 +12,18 @@ from .pyast import text_udf
 
 #: Operations that a plan may name, the one it gets if it names none, and its risks.
 MUTATIONS = (
-    "ARG_VALUE_REPLACE ARG_BOUNDARY_EXPAND OPERATOR_FLIP CALL_CHAIN_EXTEND STATE_MUTATION FIXTURE_DATA_MUTATION "
-    "CONFIG_MUTATION MOCK_BEHAVIOR_MUTATION LIFECYCLE_TRIGGER SERIALIZATION_TRIGGER WARNING_LOG_TRIGGER"
-).split()
+    "ARG_VALUE_REPLACE",
+    "ARG_BOUNDARY_EXPAND",
+    "OPERATOR_FLIP",
+    "CALL_CHAIN_EXTEND",
+    "STATE_MUTATION",
+    "FIXTURE_DATA_MUTATION",
+    "CONFIG_MUTATION",
+    "MOCK_BEHAVIOR_MUTATION",
+    "LIFECYCLE_TRIGGER",
+    "SERIALIZATION_TRIGGER",
+    "WARNING_LOG_TRIGGER",
+)
 DEFAULT_MUTATION, RISKS = "CALL_CHAIN_EXTEND", ("low", "medium", "high")
 #: Fixed value: marks of an observation block.
 OBSERVATION = r"(?s)BRT_OBS_START\s*(.*?)\s*BRT_OBS_END"
@@ -152,16 +161,83 @@ def bounded_report(observations: Column, limit: int = SHOWN_REPORT) -> Column:
     from .text import shorten_middle
 
     short = F.coalesce(shown_json(observations), F.lit("{}"))
-    return F.when(F.length(short) <= limit, short).otherwise(F.to_json(F.struct(shorten_middle(short, limit).alias("truncated_json"))))
+    return F.when(F.length(short) <= limit, short).otherwise(F.concat(F.lit('{"truncated_json": '), quoted(shorten_middle(short, limit)), F.lit("}")))
 
 
-def _shown_text(text: str | None) -> str | None:
-    try:
-        return json.dumps(shown(json.loads(text)), ensure_ascii=False)
-    except (ValueError, TypeError):
-        return None
+def quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    whole = F.to_json(F.struct(text.alias("v")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def shown_value(text: Column, depth: int = 0) -> Column:
+    """Bounded form of a JSON value's text: as shown(), with the value's parts as JSON texts and one level a step."""
+    from .text import shorten_middle
+
+    def a_text(t: Column) -> Column:
+        return bound(F.try_variant_get(F.try_parse_json(t), "$", "string"), lambda plain: quoted(shorten_middle(plain, SHOWN_CHARS)))
+
+    def below(t: Column) -> Column:
+        word = F.when(t == "null", "None").when(t == "true", "True").when(t == "false", "False").otherwise(t)
+        return F.when(F.startswith(t, F.lit('"')), a_text(t)).otherwise(quoted(shorten_middle(word, SHOWN_CHARS)))
+
+    def with_parts(t: Column) -> Column:
+        named = F.transform(F.map_entries(F.from_json(t, "map<string,variant>")), lambda e: F.struct(F.concat(quoted(e["key"]), F.lit(": ")).alias("name"), F.to_json(e["value"]).alias("value")))
+        listed = F.transform(F.from_json(t, "array<variant>"), lambda x: F.struct(F.lit("").alias("name"), F.to_json(x).alias("value")))
+        is_object = F.startswith(t, F.lit("{"))
+        limit = F.when(is_object, SHOWN_KEYS).otherwise(SHOWN_ITEMS)
+
+        def joined(parts: Column) -> Column:
+            kept = F.transform(F.slice(parts, F.lit(1), limit), lambda p: F.concat(p["name"], shown_value(F.coalesce(p["value"], F.lit("null")), depth + 1)))
+            left = (F.size(parts) - limit).cast("string")
+            more = F.when(is_object, F.concat(F.lit('"__truncated_keys__": '), left)).otherwise(F.concat(F.lit('{"__truncated_items__": '), left, F.lit("}")))
+            every = F.concat(kept, F.when(F.size(parts) > limit, F.array(more)).otherwise(F.array().cast("array<string>")))
+            return F.concat(F.when(is_object, "{").otherwise("["), F.array_join(every, ", "), F.when(is_object, "}").otherwise("]"))
+
+        return bound(F.when(is_object, named).otherwise(listed), joined)
+
+    def whole(t: Column) -> Column:
+        return F.when(F.regexp_like(t, F.lit(r"^[{\[]")), with_parts(t)).when(F.startswith(t, F.lit('"')), a_text(t)).otherwise(t)
+
+    return bound(text, below if depth >= SHOWN_DEPTH else whole)
 
 
 def shown_json(text: Column) -> Column:
-    """Bounded form of a JSON text; null for null and for a text that is not JSON."""
-    return text_udf(_shown_text)(text)
+    """Bounded form of a JSON text; null for null and for a text that is not JSON.
+
+    Parts are bounded one level after the other as expressions.  A value below the last level is shown as text; one with
+    parts as its JSON.
+    """
+    return shown_value(F.to_json(F.try_parse_json(text)))
+
+
+#: Fields of an execution that a report shows.
+EXECUTION_FIELDS = ("command", "returncode", "duration", "timeout", "status", "error_reason", "stdout", "stderr")
+SHOWN_OUTPUT = 24_000
+
+
+def shown_report(report: Column) -> Column:
+    """struct(instance_id, status, observations, execution, raw_output) of a report as VARIANT: observations and execution bounded, as JSON texts, the raw output shortened.
+
+    Of the execution only the named fields are shown, and those it has; one that is no object has none.
+    """
+    from .text import shorten_middle
+
+    part = lambda name: F.to_json(F.try_variant_get(report, f"$.{name}", "variant"))
+    text = lambda name: F.try_variant_get(report, f"$.{name}", "string")
+    observations = F.when(part("observations").isin("null", '""', "0", "false", "[]"), "{}").otherwise(part("observations"))
+    fields = F.array(*[F.struct(F.lit(f'"{f}": ').alias("name"), part(f"execution.{f}").alias("value")) for f in EXECUTION_FIELDS])
+    there = F.filter(fields, lambda x: x["value"].isNotNull())
+    execution = F.concat(F.lit("{"), F.array_join(F.transform(there, lambda x: F.concat(x["name"], shown_value(x["value"]))), ", "), F.lit("}"))
+    return F.struct(
+        text("instance_id").alias("instance_id"),
+        text("status").alias("status"),
+        bounded_report(observations).alias("observations"),
+        execution.alias("execution"),
+        shorten_middle(F.coalesce(text("raw_output"), F.lit("")), SHOWN_OUTPUT).alias("raw_output"),
+    )

@@ -48,10 +48,40 @@ def patch_refusal(path: Column, search: Column, replace: Column, test_path: Colu
 
 
 def patch_list(items: Column, test_path: Column, allowed: Column) -> Column:
-    """struct(items, problem) of array<struct<path, search, replace>>: all items, or none and the first refusal; 'empty' for no items."""
+    """struct(items, problem) of array<struct<path, search, replace, ..>>: all items with their paths trimmed and with forward slashes, or none and the first refusal; 'empty' for no items."""
     refusals = F.filter(F.transform(items, lambda x: patch_refusal(x["path"], x["search"], x["replace"], test_path, allowed)), lambda x: x.isNotNull())
     problem = F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, "empty").otherwise(F.coalesce(F.try_element_at(refusals, F.lit(1)), F.lit("")))
-    return F.struct(F.when(problem == "", items).otherwise(F.slice(items, 1, 0)).alias("items"), problem.alias("problem"))
+    clean = F.transform(items, lambda x: x.withField("path", forward(F.trim(x["path"]))))
+    return F.struct(F.when(problem == "", clean).otherwise(F.slice(clean, 1, 0)).alias("items"), problem.alias("problem"))
+
+
+def edited(files: Column, items: Column) -> Column:
+    """struct(files, steps, problem) after all of array<struct<path, search, replace, ..>> on map<path, text>, one after the other.
+
+    Each search text must occur just once in its file as the edits before have left it; steps has the text of each
+    edit's file before and after.  If one edit fails, none is made: the problem tells of the first that did.
+    """
+    step = "array<struct<path:string,before:string,after:string>>"
+    start = F.struct(files.alias("files"), F.array().cast(step).alias("steps"), F.lit("").alias("problem"))
+
+    def apply(state, x):
+        before = F.try_element_at(state["files"], x["path"])
+        n = occurrences(before, x["search"])
+        problem = (
+            F.when(state["problem"] != "", state["problem"])
+            .when(before.isNull(), F.concat(F.lit("source file does not exist: "), x["path"]))
+            .when(n != 1, F.concat(F.lit("search text must occur exactly once in "), x["path"], F.lit(", found "), n.cast("string")))
+            .otherwise("")
+        )
+        after = F.replace(before, x["search"], x["replace"])
+        others = F.map_filter(state["files"], lambda k, _: k != x["path"])
+        made = F.map_concat(others, F.map_from_arrays(F.array(x["path"]), F.array(after)))
+        taken = F.array(F.struct(x["path"].alias("path"), before.alias("before"), after.alias("after")))
+        return F.struct(F.when(problem == "", made).otherwise(state["files"]).alias("files"), F.when(problem == "", F.concat(state["steps"], taken)).otherwise(state["steps"]).alias("steps"), problem.alias("problem"))
+
+    done = F.aggregate(items, start, apply)
+    fine = done["problem"] == ""
+    return F.struct(F.when(fine, done["files"]).otherwise(files).alias("files"), F.when(fine, done["steps"]).otherwise(F.array().cast(step)).alias("steps"), done["problem"].alias("problem"))
 
 
 #: Short names of projects by the owner that an id begins with.
