@@ -125,42 +125,108 @@ def by_repository(rows: DataFrame, specs: DataFrame) -> DataFrame:
     return rows.join(specs.withColumn("known", F.lit(True)), ["repo", "version"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def export_record(ids: DataFrame, summaries: DataFrame, evaluations: DataFrame, rankings: DataFrame, tests: DataFrame) -> DataFrame:
-    """One nested record an id: generation, formal evaluation, selected test and error.
+#: Columns of the inputs of a record beside instance_id.
+RECORD_FIELDS = {
+    "s": "status string, rounds_used int, strict_verifier_decision string, buggy_status string, returncode int, stdout string, stderr string, error_reason string, strict_failure_class string, surrogate_status string, error string",
+    "e": "status string, buggy_status string, fixed_status string, buggy_returncode int, fixed_returncode int, direct_test_repo_path string, selector string, error string, record_path string",
+    "r": "selected_attempt int, candidates int",
+    "t": "path string, content string",
+}
 
-    summaries(instance_id, status, rounds_used, returncode, stdout, stderr, strict_failure_class, error),
-    evaluations(instance_id, status, buggy_status, fixed_status), rankings(instance_id,
-    selected_attempt, candidates), tests(instance_id, path, content); a key occurs in each once.
+
+def held(df: DataFrame, name: str) -> DataFrame:
+    """(instance_id, ``name``): the columns of RECORD_FIELDS as one struct, null where df lacks them."""
+    fields = [f.split() for f in RECORD_FIELDS[name].split(", ")]
+    return df.select("instance_id", F.struct(*[(F.col(f) if f in df.columns else F.lit(None)).cast(kind).alias(f) for f, kind in fields]).alias(name))
+
+
+def read_summaries(raw: DataFrame) -> DataFrame:
+    """The columns of a record's summaries from raw(instance_id, value variant); a part of a wrong type counts as empty."""
+    v = lambda path, kind="string": F.try_variant_get("value", f"$.{path}", kind)
+    same = ("status", "strict_verifier_decision", "strict_failure_class", "error")
+    run = {"buggy_status": "status", "stdout": "stdout", "stderr": "stderr", "error_reason": "error_reason"}
+    return raw.select(
+        "instance_id", *[v(f).alias(f) for f in same], v("rounds_used", "int").alias("rounds_used"), v("buggy_execution.returncode", "int").alias("returncode"),
+        *[v(f"buggy_execution.{f}").alias(c) for c, f in run.items()], v("dual_version_result.status").alias("surrogate_status"),
+    )
+
+
+def read_evaluations(raw: DataFrame, record_path: Column | None = None) -> DataFrame:
+    """The columns of a record's evaluations from raw(instance_id, value variant)."""
+    v = lambda path, kind="string": F.try_variant_get("value", f"$.{path}", kind)
+    return raw.select(
+        "instance_id", v("status").alias("status"), v("buggy.status").alias("buggy_status"), v("fixed.status").alias("fixed_status"), v("buggy_run.returncode", "int").alias("buggy_returncode"),
+        v("fixed_run.returncode", "int").alias("fixed_returncode"), *[v(f).alias(f) for f in ("direct_test_repo_path", "selector", "error")], (F.lit(None) if record_path is None else record_path).cast("string").alias("record_path"),
+    )
+
+
+def read_rankings(raw: DataFrame) -> DataFrame:
+    """The columns of a record's rankings from raw(instance_id, value variant): the attempt that is named, else the first that is marked, and how many there are."""
+    from .ranking import selected_attempt
+
+    listed = F.try_variant_get("value", "$.checkpoints", "array<struct<selected boolean, round_id int>>")
+    named = F.try_variant_get("value", "$.selected_attempt", "int")
+    return raw.select("instance_id", selected_attempt(named, listed).alias("selected_attempt"), F.coalesce(F.size(listed), F.lit(0)).alias("candidates"))
+
+
+def export_record(ids: DataFrame, summaries: DataFrame, evaluations: DataFrame, rankings: DataFrame, tests: DataFrame, logs: DataFrame | None = None) -> DataFrame:
+    """One nested record an id: selected test, generation, formal evaluation, paths and error.
+
+    Inputs have instance_id, once each, and any of the columns in RECORD_FIELDS; what an input lacks is null.
+    logs(instance_id, attempt, path) has the execution logs that there are.  Texts are joined last, so that they
+    are moved once.
     """
-    s = summaries.select("instance_id", F.struct(*[c for c in summaries.columns if c != "instance_id"]).alias("s"))
-    e = evaluations.select("instance_id", F.struct(*[c for c in evaluations.columns if c != "instance_id"]).alias("e"))
-    r = rankings.select("instance_id", F.struct("selected_attempt", "candidates").alias("r"))
-    t = tests.select("instance_id", F.struct("path", "content").alias("t"))
-    joined = ids.select("instance_id").join(s, "instance_id", "left").join(e, "instance_id", "left").join(r, "instance_id", "left").join(t, "instance_id", "left")
+    s, e, r, t = (held(df, name) for name, df in zip("sert", (summaries, evaluations, rankings, tests)))
+    joined = ids.select("instance_id").join(r, "instance_id", "left").join(e, "instance_id", "left")
+    if logs is not None:
+        log = logs.select(F.col("instance_id").alias("_log_of"), F.col("attempt").alias("_attempt"), F.col("path").alias("_log"))
+        same = (F.col("instance_id") == F.col("_log_of")) & (F.col("r.selected_attempt") == F.col("_attempt"))
+        joined = joined.join(log, same, "left")
+    else:
+        joined = joined.withColumn("_log", F.lit(None).cast("string"))
+    joined = joined.join(s, "instance_id", "left").join(t, "instance_id", "left")
     strict = truthy("s.strict_failure_class")
     content = F.nullif("t.content", F.lit(""))
+    under = lambda name: F.concat(F.lit("generation/"), F.col("instance_id"), F.lit(f"/{name}"))
     return joined.select(
         "instance_id",
         content.isNotNull().alias("generated"),
         F.col("e").isNotNull().alias("evaluated"),
-        F.struct(F.col("t.path").alias("test_file_path"), content.alias("test_content")).alias("selected_test"),
+        F.struct(
+            F.coalesce(F.nullif("e.direct_test_repo_path", F.lit("")), "t.path", under("final_test.py")).alias("test_file_path"),
+            F.col("e.selector").alias("test_nodeid"),
+            content.alias("test_content"),
+            F.lit(None).cast("string").alias("patch_content"),
+        ).alias("selected_test"),
         F.struct(
             F.col("s.status").alias("status"),
-            F.col("s.rounds_used").alias("final_round"),
+            F.coalesce("r.selected_attempt", "s.rounds_used").alias("final_round"),
             F.coalesce(F.nullif("r.candidates", F.lit(0)), content.isNotNull().cast("int")).alias("candidate_count"),
             F.col("r.selected_attempt").alias("selected_candidate_index"),
+            F.col("s.strict_verifier_decision").alias("verifier_decision"),
+            F.col("s.buggy_status").alias("buggy_execution_status"),
             F.col("s.returncode").alias("buggy_returncode"),
-            F.when(F.col("s").isNotNull(), tail_excerpt(F.col("s.stdout"), F.col("s.stderr"))).alias("buggy_log_excerpt"),
+            F.when(F.col("s").isNotNull(), tail_excerpt(F.col("s.stdout"), F.col("s.stderr"), F.col("s.error_reason"))).alias("buggy_log_excerpt"),
             F.when(strict != "", strict == "issue_aligned").alias("issue_aligned"),
+            F.col("s.surrogate_status").alias("surrogate_status"),
         ).alias("generation"),
         F.struct(
             F.col("e.status").alias("status"),
             F.col("e.buggy_status").alias("buggy_status"),
             F.col("e.fixed_status").alias("patched_status"),
+            F.col("e.buggy_returncode").alias("buggy_returncode"),
+            F.col("e.fixed_returncode").alias("patched_returncode"),
             F.coalesce(F.col("e.status") == "F2P_SUCCESS", F.lit(False)).alias("is_f2p_success"),
             rules.failure_category(F.col("e.status")).alias("failure_category"),
         ).alias("formal_evaluation"),
-        F.nullif(truthy("s.error"), F.lit("")).alias("error"),
+        F.struct(
+            F.when(F.col("s").isNotNull(), under("summary.json")).alias("generation_record"),
+            F.col("e.record_path").alias("evaluation_record"),
+            F.when(content.isNotNull(), under("final_test.py")).alias("test_file"),
+            F.col("_log").alias("buggy_log"),
+            F.lit(None).cast("string").alias("patched_log"),
+        ).alias("paths"),
+        F.nullif(truthy("s.error", "e.error"), F.lit("")).alias("error"),
     )
 
 

@@ -707,3 +707,6 @@ def build_requirements(spark, sf):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_record_status(spark, sf_dir)
+
+
+from . import record_queries  # noqa: E402, F401  (it registers more queries with what is defined above)
