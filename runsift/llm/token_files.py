@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .token_counts import BYTE_SIGNS, CACHE_LIMIT, LONG_PART, MARKS, PATTERN, Counter, stable_parts
+from .token_counts import BYTE_SIGNS, LONG_PART, PATTERN, Counter, stable_parts
 from .wordbag import Remembered
 
 #: A segment is closed from so many ids on.
@@ -42,6 +42,13 @@ COLUMNS = "part int, segment int, begin long, doc_ids array<long>, ends array<lo
 
 #: Parts that the pattern cuts alike in every version: as for counting, with line feeds inside.
 PLAIN = re.compile(" ?[!-;=-~\xc0-\xd6\xd8-\xf6\xf8-\xff\n]{1,63}")
+#: Signs that end a word and are no letters, digits or white space; no special string begins with one of them.
+ENDINGS = "!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
+#: White space besides blanks, in ASCII and in all.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+WIDE_SPACES = SPACES + "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Distinct parts that a worker remembers, twice at most.
+CACHE_LIMIT = 600_000
 #: Bytes, as characters of Latin-1, by their signs in the vocabulary.
 SIGNS = {b: sign for b, sign in BYTE_SIGNS.items() if chr(b) != sign}
 
@@ -56,6 +63,8 @@ class Encoder(Counter):
         super().__init__(path)
         self.known = Remembered(self.part, CACHE_LIMIT, LONG_PART)
         self.matches = Remembered(self.match, CACHE_LIMIT, LONG_PART)
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # what is met again is remembered here
 
     def match(self, letters: str) -> bytes:
         """Ids of one match of the pattern."""
@@ -63,19 +72,37 @@ class Encoder(Counter):
         return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
 
     def part(self, part: str) -> bytes:
+        if self.cut_by_pattern and part.isascii() and len(part) < LONG_PART and is_word(part):
+            return self.match(part)
         if self.cut_by_pattern and PLAIN.fullmatch(part):
-            if part[1:].isalpha():  # one match of the pattern
-                if part[0] == " " or part[0].isalpha():
-                    return self.match(part)
-            elif part[0] == " " and part[1:-1].isalpha() and part[-1] in MARKS:
-                return self.known[part[:-1]] + self.matches[part[-1]]
+            word = part.rstrip(ENDINGS)
+            if is_word(word):  # one match of the pattern, and one for all signs behind it
+                return self.known[word] + self.matches[part[len(word) :]] if len(word) < len(part) else self.match(part)
+            lines = part.split("\n")
+            if len(lines) > 1 and all(lines):  # a line feed between two signs that are no white space is a match by itself
+                return self.matches["\n"].join([self.known[line] for line in lines])
             return b"".join(map(self.matches.__getitem__, PATTERN.findall(part)))
         if len(part) > self.window:
             return self.spliced_ids(part).astype("<u4").tobytes()
         return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, stable_parts(text)))
+        if not text or has_odd_space(text):
+            return b"".join(map(self.known.__getitem__, stable_parts(text)))
+        first, *rest = text.split(" ")
+        return self.known[first] + b"".join([self.known[" " + p] for p in rest])
+
+
+def is_word(part: str) -> bool:
+    """Whether a part is two letters or more, or letters behind a blank."""
+    return part[1:].isalpha() and (part[0] == " " or part[0].isalpha())
+
+
+def has_odd_space(text: str) -> bool:
+    """Whether a blank stands at an end or beside other white space."""
+    if text[0] == " " or text[-1] == " " or "  " in text:
+        return True
+    return any(w in text and (" " + w in text or w + " " in text) for w in (SPACES if text.isascii() else WIDE_SPACES))
 
 
 _encoders: dict[str, Encoder] = {}
