@@ -330,10 +330,12 @@ def planned(nodes: DataFrame, made: list[str]) -> tuple[DataFrame, DataFrame]:
     kept, held = shared_buckets(nodes, made)
     roots = components(held.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")), made)
     grouped = roots.join(nodes.select("node", "first", "set_key", "times", "cells"), "node")
-    size = grouped.groupBy("root").agg(F.count("*").alias("n"), F.sum("cells").alias("all_cells"))
-    pairs = kept.join(roots.select(F.col("node").alias("low"), "root"), "low").groupBy("root").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"))
+    # Sums are by -root, so that the joins by root behind them deal all rows anew and a frequent root is split.
+    turned = (-F.col("root")).alias("turned")
+    size = grouped.groupBy(turned).agg(F.count("*").alias("n"), F.sum("cells").alias("all_cells"))
+    pairs = kept.join(roots.select(F.col("node").alias("low"), "root"), "low").groupBy(turned).agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"))
     together = (F.col("n") <= BLOCK) | (F.col("n").cast("double") * F.col("n") <= F.col("pairs"))
-    plan = size.join(pairs, "root").select("root", together.alias("together"), parts(F.col("n"), F.col("all_cells")).alias("n_parts"))
+    plan = size.join(pairs, "turned").select((-F.col("turned")).alias("root"), together.alias("together"), parts(F.col("n"), F.col("all_cells")).alias("n_parts"))
     grouped = written(grouped.drop("cells").join(plan, "root"), made)
 
     columns = [c.split()[0] for c in TILE.split(", ")]
@@ -376,7 +378,7 @@ def join_rows(docs: DataFrame, row_key: Column) -> DataFrame:
     roots = linked.where("whole and a <> b").select(F.col("a").alias("node"), F.col("b").alias("root")).union(split)
     counts = linked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = roots.union(roots.select("root", "root")).distinct()
-    least = roots.join(nodes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("least"))
+    least = roots.join(nodes.select("node", "first"), "node").groupBy((-F.col("root")).alias("turned")).agg(F.min("first").alias("least")).select((-F.col("turned")).alias("root"), "least")
     classes = roots.join(least, "root").select("node", "least")
     known = nodes.join(counts, "node", "left").join(classes, "node", "left").select(
         "set_key", F.coalesce("least", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links")
