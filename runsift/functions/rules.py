@@ -345,6 +345,55 @@ def buggy_only_decision(status: Column, audit: Column, check_missing: Column, lo
     )
 
 
+# Reasons and next actions of a decision on the buggy version.
+SETUP_ACTION = "修复 import、fixture、class、setup 或语法。"
+CHECK_SETUP_ACTION = (
+    "保留真实 check() 调用，只修复字段/对象缺少模型绑定、name、app_label "
+    "或其他元数据的问题。优先复用 HostContext 模型并通过 _meta.get_field() "
+    "取得字段；standalone Field 可调用 set_attributes_from_name()。"
+)
+CHECK_PASS = (
+    "这是缺失系统检查类 Issue；buggy 版本通过说明当前测试没有用 check() 观察修复后应新增的检查证据。",
+    "必须调用源码真实 check() 生命周期，并断言 expected_behavior 要求新增的稳定检查结果存在；不得改用 clean()、save()、构造器异常或普通值长度验证替代系统检查。",
+)
+PLAIN_PASS = ("buggy 版本通过，说明缺陷路径未触发。", "加强输入、状态或调用链变异。")
+CHECK_ACCEPT = (
+    "测试调用了源码中的 check() 生命周期，并因修复后应出现的检查证据在 buggy 版本中缺失而断言失败；这与缺少检查类 Issue 对齐。",
+    "接受当前 BRT。",
+)
+LOG_ACCEPT = ("测试调用了目标行为并捕获修复后应出现的日志；buggy 版本因没有日志证据而断言失败，与缺失日志类 Issue 对齐。", "接受当前 BRT。")
+UNSURE_ASSERT = ("断言失败但是否对齐不确定。", "插桩观测后重写 assert。")
+UNSURE_WORDS = ("关键词规则认为相关，但未完成语义验证。", "重新核对目标 API、输入和失败语义。")
+TIMED_OUT = ("执行超时。", "放弃或缩小测试。")
+NOT_ALIGNED_ACTION = "重新对齐触发路径。"
+
+
+def buggy_only_verdict(status: Column, audit: Column, audit_text: Column, check_missing: Column, log_missing: Column, code: Column) -> Column:
+    """struct(decision, reason, focus, next_action): buggy_only_decision with the texts that go with it.
+
+    audit_text: the audit's own words, which are reason and action of what it finds.
+    """
+    has = lambda *ws: has_any(F.coalesce(code, F.lit("")), ws)
+    choice = buggy_only_decision(status, audit, check_missing, log_missing, code)
+    pair = lambda reason, action: F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(n) for x, n in ((reason, "reason"), (action, "next_action"))])
+    failed = status == "ASSERTION_FAIL"
+    texts = first_match(
+        [
+            (status.isin("SETUP_ERROR", "SYNTAX_ERROR", "COLLECT_ERROR"), pair(status, F.when(check_missing & has(".check("), CHECK_SETUP_ACTION).otherwise(SETUP_ACTION))),
+            (audit != "", pair(audit_text, audit_text)),
+            ((status == "PASS") & check_missing, pair(*CHECK_PASS)),
+            (status == "PASS", pair(*PLAIN_PASS)),
+            (failed & (choice["decision"] == "accept") & check_missing & has(".check(") & ~has("assertRaises", "pytest.raises"), pair(*CHECK_ACCEPT)),
+            (failed & (choice["decision"] == "accept"), pair(*LOG_ACCEPT)),
+            (failed, pair(*UNSURE_ASSERT)),
+            (status == "ISSUE_ALIGNED_FAIL", pair(*UNSURE_WORDS)),
+            (status == "TIMEOUT", pair(*TIMED_OUT)),
+        ],
+        pair(F.concat(F.lit("失败类型 "), status, F.lit("，和 issue 对齐不足。")), NOT_ALIGNED_ACTION),
+    )
+    return F.struct(choice["decision"].alias("decision"), texts["reason"].alias("reason"), choice["focus"].alias("focus"), texts["next_action"].alias("next_action"))
+
+
 #: Words of an expected behaviour that is an exception.
 EXCEPTION_WORDS = ("抛出", "异常", "raise", "exception")
 

@@ -193,6 +193,16 @@ def backoff_seconds(attempt: Column, base: float = 15, cap: float = 180) -> Colu
     return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(cap))
 
 
+def wait_seconds(code: Column, attempt: Column, attempts: Column, retry_after: Column) -> Column:
+    """Seconds to wait behind a failed attempt; null behind the last.
+
+    An answer of 429 waits as long as it says, if it says a number, and at least 30 seconds doubled with each attempt up to 300.
+    """
+    said = F.coalesce(retry_after.try_cast("double"), F.lit(0.0))
+    limited = F.greatest(said, backoff_seconds(attempt, 30, 300))
+    return F.when(attempt < attempts - 1, F.when(F.coalesce(code == 429, F.lit(False)), limited).otherwise(backoff_seconds(attempt)))
+
+
 #: Kinds of oracle that generated code may name.
 ORACLE_KINDS = ("NO_EXCEPTION", "EXCEPTION_TYPE", "WARNING", "LOGGING", "EXACT_VALUE", "TYPE_OR_SHAPE", "STATE_CHANGE", "SQL_VALIDITY", "SERIALIZATION", "RENDER_OUTPUT", "ORDERING")
 

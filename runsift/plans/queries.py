@@ -709,4 +709,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_record_status(spark, sf_dir)
 
 
-from . import record_queries  # noqa: E402, F401  (it registers more queries with what is defined above)
+from . import record_queries, rule_queries  # noqa: E402, F401  (they register more queries with what is defined above)
