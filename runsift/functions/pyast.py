@@ -177,6 +177,59 @@ def definitions(code: str | None) -> tuple[list[str], list[str], list[str]]:
     return fixtures, names, marks
 
 
+#: What outline() tells of a source, with its items in the order of the source.
+ITEM = "kind:string,owner:string,name:string,line:int,code:string,bases:string,decorators:array<string>,arguments:array<string>,refers:array<string>"
+OUTLINE = f"parsed boolean, header array<struct<kind:string,text:string>>, imported array<struct<level:int,module:string,names:array<string>>>, items array<struct<{ITEM}>>"
+
+
+def outline(code: str | None) -> tuple[bool, list[dict], list[dict], list[dict]]:
+    """(parsed, header, imported, items) of a source.
+
+    header: import statements, and assignments that name pytestmark ('mark' of that target, 'marks' of any other);
+    imported: relative imports; items: classes, functions, the methods and assignments of classes, and functions inside others ('inner').
+    """
+    tree = tree_of(code)
+    if tree is None:
+        lines = [x for x in (code or "").splitlines() if x.startswith(("import ", "from ", "pytestmark"))]
+        return False, [{"kind": "line", "text": x} for x in lines], [], []
+    text = lambda n: ast.get_source_segment(code, n) or ""
+
+    def item(kind: str, n: ast.AST, owner: str = "") -> dict:
+        marks = [t for t in (text(d).strip() for d in getattr(n, "decorator_list", [])) if t]
+        own = [a.arg for a in n.args.args] if isinstance(n, FUNCTIONS) else []
+        used = sorted({x.id for x in ast.walk(n) if isinstance(x, ast.Name)}) if isinstance(n, FUNCTIONS) else []
+        bases = ", ".join(map(text, n.bases)) if isinstance(n, ast.ClassDef) else ""
+        return {"kind": kind, "owner": owner, "name": getattr(n, "name", ""), "line": n.lineno, "code": text(n), "bases": bases, "decorators": marks, "arguments": own, "refers": used}
+
+    header, imported, items, seen = [], [], [], set()
+    for n in tree.body:
+        if isinstance(n, (ast.Import, ast.ImportFrom)):
+            header.append({"kind": "import", "text": text(n)})
+            if isinstance(n, ast.ImportFrom) and n.level:
+                imported.append({"level": n.level, "module": n.module or "", "names": [a.name for a in n.names if a.name != "*"]})
+        elif isinstance(n, (ast.Assign, ast.AnnAssign)) and "pytestmark" in text(n):
+            named = isinstance(n, ast.Assign) and any(getattr(t, "id", "") == "pytestmark" for t in n.targets)
+            header.append({"kind": "mark" if named else "marks", "text": text(n)})
+        elif isinstance(n, ast.ClassDef):
+            items.append(item("class", n))
+            for child in n.body:
+                if isinstance(child, FUNCTIONS):
+                    items.append(item("method", child, n.name))
+                    seen.add(child)
+                elif isinstance(child, (ast.Assign, ast.AnnAssign)):
+                    items.append(item("assign", child, n.name))
+        elif isinstance(n, FUNCTIONS):
+            items.append(item("function", n))
+            seen.add(n)
+    items += [item("inner", n) for n in ast.walk(tree) if isinstance(n, FUNCTIONS) and n not in seen]
+    return True, header, imported, items
+
+
+def outline_of(code: Column) -> Column:
+    """struct(OUTLINE) of a source, which is parsed once."""
+    return arrow_udf(outline, OUTLINE, 1)(code)
+
+
 def protocol(code: str | None, name: str | None) -> tuple[list[str], list[str], list[str]]:
     """(wanted fixtures, local helpers, decorators) of a test: its arguments, and the top-level names that it refers to."""
     _, names, _ = definitions(code)
