@@ -87,20 +87,20 @@ def last_observation(stdout: Column, stderr: Column) -> Column:
 def merged_observations(stdout: Column) -> Column:
     """All blocks of one stream in one map; a later value of a key wins, and the last block that is not JSON is kept under 'raw'."""
     blocks = F.regexp_extract_all(F.coalesce(stdout, F.lit("")), F.lit(OBSERVATION), F.lit(1))
-    read = F.transform(blocks, lambda b: F.struct(_block(b).alias("good"), b.alias("text")))
-    empty = F.create_map().cast("map<string,string>")
-    start = F.struct(empty.alias("good"), F.lit(None).cast("string").alias("raw"))
 
-    def add(state, block):
-        more = F.map_concat(F.map_filter(state["good"], lambda k, v: ~F.map_contains_key(block["good"], k)), block["good"])
-        good = block["good"].isNotNull()
-        return F.struct(F.when(good, more).otherwise(state["good"]).alias("good"), F.when(good, state["raw"]).otherwise(block["text"]).alias("raw"))
+    def merged(read: Column) -> Column:
+        broken = F.filter(read, lambda r: r["good"].isNull())
+        raw = F.transform(F.slice(F.reverse(broken), 1, 1), lambda r: F.struct(F.lit("raw").alias("key"), r["text"].alias("value")))
+        entries = F.flatten(F.transform(F.filter(read, lambda r: r["good"].isNotNull()), lambda r: F.map_entries(r["good"])))
+        return bound(F.concat(entries, raw), last_of_each)
 
-    def finish(state):
-        with_raw = F.map_concat(F.map_filter(state["good"], lambda k, v: k != "raw"), F.create_map(F.lit("raw"), state["raw"]))
-        return F.when(state["raw"].isNull(), state["good"]).otherwise(with_raw)
+    def last_of_each(entries: Column) -> Column:
+        keys = F.reverse(F.transform(entries, lambda e: e["key"]))
+        last = lambda e, i: F.array_position(keys, e["key"]) == F.size(entries) - i
+        return F.map_from_entries(F.filter(entries, last))
 
-    return F.aggregate(read, start, add, finish)
+    # Each block is read once.
+    return bound(F.transform(blocks, lambda b: F.struct(_block(b).alias("good"), b.alias("text"))), merged)
 
 
 def normalized_plan(ops: Column, risk: Column) -> Column:

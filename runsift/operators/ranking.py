@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def numbered(df: DataFrame, keys: list, order: list, name: str) -> DataFrame:
@@ -13,13 +16,21 @@ def numbered(df: DataFrame, keys: list, order: list, name: str) -> DataFrame:
 def dedup_top_k(df: DataFrame, group: list[str], key: list[Column], position: str, k: int) -> DataFrame:
     """The first row of each key in a group, then the first k of the group; k <= 0 still gives one row.
 
-    Repeated keys are combined before the shuffle, and the window's bound lets each task send k rows of a
-    group at most, so a hot group costs little.  Keys compare as they are, so null and '' differ unless the
-    caller makes them equal.
+    Positions that are numbers are combined as such before the shuffle, and only the rows at the k first of a
+    group are read in full; other positions are combined with their rows.  The window's bound lets each task
+    send k rows of a group at most, so a hot group costs little.  Keys compare as they are, so null and ''
+    differ unless the caller makes them equal.
     """
     rest = [c for c in df.columns if c not in group]
     names = [f"_k{i}" for i in range(len(key))]
-    first = df.withColumns(dict(zip(names, key))).groupBy(*group, *names).agg(F.min_by(F.struct(*rest), position).alias("_row"))
+    keyed = df.withColumns(dict(zip(names, key)))
+    if isinstance(df.schema[position].dataType, NumericType):
+        places = keyed.groupBy(*group, *names).agg(F.min(position).alias("_place"))
+        places = numbered(places, group, ["_place"], "_n").where(F.col("_n") <= max(k, 1))
+        places = places.select(*[F.col(c).alias(f"_of_{c}") for c in (*group, *names)], "_place")
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*group, *names)]
+        keyed = keyed.join(places, reduce(lambda a, b: a & b, same, F.col(position) == F.col("_place")), "left_semi")
+    first = keyed.groupBy(*group, *names).agg(F.min_by(F.struct(*rest), position).alias("_row"))
     first = first.select(*group, *[F.col("_row")[c].alias(c) for c in rest])
     best = numbered(first, group, [position], "_n").where(F.col("_n") <= max(k, 1))
     return best.select(*df.columns)
