@@ -19,13 +19,21 @@ TOXIC, GOOD = 0.5, 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs whose toxicity score is below TOXIC; the model learns from the labels of all documents."""
+    """docs whose toxicity score is below TOXIC; the model learns from the labels of all documents.
+
+    A null text is scored as an empty one, which has the score of no words at all; a score of just TOXIC is rejected;
+    repeated rows and rows with a null doc_id are judged each by their text; an empty table gives no rows.
+    """
     model = toxicity.fit(queries.table(spark, sf_dir, "documents"), queries.table(spark, sf_dir, "labels"))
     return docs.where(toxicity.probability(model, F.col("text")) < TOXIC)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs whose probability of a grade above the lowest is at least GOOD."""
+    """docs whose probability of a grade above the lowest is at least GOOD.
+
+    A null text is rated as an empty one; a probability of just GOOD is kept; repeated rows and rows with a null
+    doc_id are judged each by their text; an empty table gives no rows.
+    """
     labels = queries.table(spark, sf_dir, "labels")
     model = quality.fit(queries.table(spark, sf_dir, "documents"), quality.grades(labels), 3)
     return docs.where(quality.tail_probabilities(model, F.col("text"))[0] >= GOOD)
@@ -41,7 +49,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences of docs."""
+    """Pieces of the packed sequences of docs.
+
+    A null text is an empty one, of the end token alone; a null doc_id stays null; repeated rows are packed each; of
+    equally cheap cuts one is taken by a fixed rule; an empty table gives no rows.
+    """
     return packing.pack(docs, queries.tokenizer_path("word_bpe_49k.json"))
 
 
@@ -52,8 +64,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between stages the rows go through Parquet in the shared folder."""
-    from runsift.llm.graph import shared_folder
+    """All stages over documents; between stages the rows go through Parquet in the shared folder, and go when the next stage's are written."""
+    from runsift.llm.graph import removed, shared_folder
 
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = queries.table(spark, sf_dir, "documents")
@@ -62,4 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            removed(spark, [f"{folder}/{k - 1}"] if k else [])
     return docs
