@@ -1,19 +1,22 @@
 """Hard negatives by a two-dimensional block matrix multiply (SUMMA).
 
 Rows of one length and label are dealt into blocks of about ROWS (labels of few rows share blocks), and
-the components into chunks; a block's chunk is one row of a table.  Anchors stand in blocks of their own,
-also by chunk.  A chunk of anchors meets the same chunk of a block and gives a partial tile of scores;
-partial tiles are shuffled by tile and added, and a finished tile is reduced before it leaves its task:
+the components into chunks; a block's chunk is one row of a table.  Some blocks make a panel, some anchors a part,
+and a panel and a part meet in one task: there the tiles of ANCHORS anchors and one block stay in place
+while the chunks' products are added, and a finished tile is reduced to its best rows at once.  Scores never
+leave their task, only blocks, anchors and best rows are shuffled:
 
-1. tiles of an anchor's own label give the anchor's best rows of that label, its positives;
-2. all other tiles give for each anchor and positive the best rows of other labels whose score lies in
-   the window that the positive's score opens.
+1. an anchor and the blocks of its own label's group give the anchor's best rows of that label, its positives;
+2. an anchor and all blocks give for each anchor and positive the best rows of other labels whose score lies in
+   the window that the positive's score opens; tiles of one label alone are passed over.
 
-So each pair of anchor and row is scored once but where labels share a block.  Anchors are a stated part
-of the table, so the work grows with anchors times rows, and no task ever holds more than a tile's chunks.
+So each pair of anchor and row is scored once but where labels share a block or a tile.  A block is sent to
+each part, an anchor to each panel; parts and panels hold about PART_CELLS and PANEL_CELLS components, so what is
+sent grows with anchors times rows only by that large a divisor.  Anchors are a stated part of the table, so the
+work grows with anchors times rows, and no task ever holds more than a part, a panel and one tile.
 
-Components x become floor(256 x).  Products are made of doubles while these hold every sum exactly, else of
-whole numbers; partial tiles are whole numbers, shipped in 32 bits where they fit and added in 64.
+Components x become floor(256 x), kept in 16 bits where all of a row's fit.  Products are made of doubles while
+these hold every sum exactly, else of whole numbers, and added in 64 bits.
 
 Defined results: rows with a null id, label or vector, an empty vector, or a null or non-finite component take
 no part; vectors only meet those of their own length; rows that share the anchor's id are never its positives
@@ -29,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import written
+from .graph import removed, written
 
 SCALE = 256
 #: Rows of a block and anchors of one; a chunk has CHUNK components, or a sixteenth of longer vectors.
@@ -39,9 +42,11 @@ POSITIVES, NEGATIVES, LOW, HIGH, OF = 5, 3, 50, 95, 100
 #: No score: less than any that is allowed.
 NONE = np.iinfo(np.int64).min
 
-BLOCKS = "dim int, block int, chunk int, ids binary, labels binary, cells binary"
-ANCHOR_BLOCKS = "dim int, grp string, part int, chunk int, ns binary, names binary, own binary, low binary, high binary, cells_a binary"
-PARTIAL = "dim int, grp string, part int, block int, chunk int, narrow boolean, tile binary, ids binary, labels binary, ns binary, names binary, own binary, low binary, high binary"
+#: Components of the blocks of a panel and of the anchors of a part, about; panels of fewer blocks are made up to PANELS of them.
+PANEL_CELLS, PART_CELLS, PANELS = 1 << 22, 1 << 20, 24
+
+BLOCKS = "dim int, grp string, block int, wide int, own_parts int, all_parts int, chunk int, bytes int, ids binary, labels binary, cells binary"
+ANCHOR_BLOCKS = "dim int, grp string, part int, chunk int, bytes int, ns binary, names binary, own binary, low binary, high binary, cells binary"
 
 
 def shifted_label(vec_id: Column, label: Column) -> Column:
@@ -50,58 +55,75 @@ def shifted_label(vec_id: Column, label: Column) -> Column:
 
 
 def prepared(table: DataFrame, label: Column, anchor: Column) -> DataFrame:
-    """(n, id, label, v, dim, anchor) of the rows that take part; n numbers them."""
+    """(n, id, label, s, v, dim, anchor) of the rows that take part; n numbers them; s has the components if they fit 16 bits, else v has them."""
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = table.select(F.col("vec_id").cast("long").alias("id"), label.cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("e"), anchor.alias("anchor"))
     rows = rows.where("id is not null and label is not null and e is not null and size(e) > 0").where(F.coalesce(fine, F.lit(False)))
     whole = F.transform("e", lambda x: F.when(F.abs(x) < 2.0**54, F.floor(x * SCALE)).otherwise(F.raise_error(F.lit("a component is too large")).cast("long")))
-    return rows.select(F.monotonically_increasing_id().alias("n"), "id", "label", whole.alias("v"), F.size("e").alias("dim"), F.coalesce("anchor", F.lit(False)).alias("anchor"))
+    small = F.forall("e", lambda x: (x >= -127) & (x < 128))
+    cells = [F.when(small, whole.cast("array<short>")).alias("s"), F.when(~small, whole).alias("v")]
+    return rows.select(F.monotonically_increasing_id().alias("n"), "id", "label", *cells, F.size("e").alias("dim"), F.coalesce("anchor", F.lit(False)).alias("anchor"))
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
-    """(dim, label, grp, pure, shards, first, blocks) of each label: the group it is dealt with, and that group's blocks among all of its length.
+    """(dim, label, grp, shards, first, wide, last_panel, own_parts, all_parts) of each label: the group it is dealt with, that group's
+    blocks among all of its length, the blocks of a panel, and the parts of the anchors of the group and of all.
 
-    A label of ROWS rows or more is a pure group of its own; the others share groups of about as many rows.
+    A label of ROWS rows or more is a group of its own; the others share groups of about as many rows.
     """
-    counts = rows.groupBy("dim", "label").agg(F.count("*").alias("c"))
+    counts = rows.groupBy("dim", "label").agg(F.count("*").alias("c"), F.count_if("anchor").alias("a"))
     few = counts.where(F.col("c") < ROWS).groupBy("dim").agg(F.ceil(F.sum("c") / ROWS).alias("shared"))
     large = F.col("c") >= ROWS
     grp = F.when(large, F.concat(F.lit("l"), F.col("label").cast("string"))).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("label"), F.col("shared")).cast("string")))
-    named = counts.join(few, "dim", "left").select("dim", "label", "c", grp.alias("grp"), large.alias("pure"))
-    sizes = named.groupBy("dim", "grp").agg(F.ceil(F.sum("c") / ROWS).cast("int").alias("shards"))
+    named = counts.join(few, "dim", "left").select("dim", "label", "c", "a", grp.alias("grp"))
+    sizes = named.groupBy("dim", "grp").agg(F.ceil(F.sum("c") / ROWS).cast("int").alias("shards"), F.sum("a").alias("own_a"))
     own = Window.partitionBy("dim")
-    placed = sizes.withColumn("first", (F.sum("shards").over(own.orderBy("grp")) - F.col("shards")).cast("int")).withColumn("blocks", F.sum("shards").over(own).cast("int"))
-    return named.drop("c").join(placed, ["dim", "grp"])
-
-
-def chunks(v: np.ndarray):
-    """(chunk, cells) of a block of vectors."""
+    whole = lambda x: F.greatest(x, F.lit(1)).cast("int")
+    blocks, most = F.sum("shards").over(own), whole(F.greatest(F.lit(ANCHORS), F.floor(F.lit(PART_CELLS) / F.col("dim"))))
+    placed = sizes.withColumns({
+        "first": (F.sum("shards").over(own.orderBy("grp")) - F.col("shards")).cast("int"),
+        "wide": whole(F.least(F.floor(F.lit(PANEL_CELLS) / (F.col("dim").cast("long") * ROWS)), F.ceil(blocks / PANELS))),
+        "own_parts": F.ceil(F.col("own_a") / most).cast("int"),
+        "all_parts": F.ceil(F.sum("own_a").over(own) / most).cast("int"),
+    }).withColumn("last_panel", F.floor((blocks - 1) / F.col("wide")).cast("int"))
+    return named.select("dim", "label", "grp").join(placed.drop("own_a"), ["dim", "grp"])
+
+
+def chunks(pdf: pd.DataFrame):
+    """(chunk, bytes of a component, cells) of a block of vectors."""
+    v = np.stack([s if s is not None else w for s, w in zip(pdf.s, pdf.v)])
     width = max(CHUNK, -(-v.shape[1] // MOST_CHUNKS))
     for k, at in enumerate(range(0, v.shape[1], width)):
-        yield k, np.ascontiguousarray(v[:, at : at + width]).tobytes()
+        yield k, v.itemsize, np.ascontiguousarray(v[:, at : at + width]).tobytes()
 
 
 def packed_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["id", "n"])
+    same = [pdf[c].iloc[0] for c in ("dim", "grp", "block", "wide", "own_parts", "all_parts")]
     head = (pdf.id.to_numpy(np.int64).tobytes(), pdf.label.to_numpy(np.int64).tobytes())
-    rows = [(pdf.dim.iloc[0], pdf.block.iloc[0], k, *(head if k == 0 else (None, None)), cells) for k, cells in chunks(np.stack(pdf.v))]
+    rows = [(*same, k, size, *(head if k == 0 else (None, None)), cells) for k, size, cells in chunks(pdf)]
     return pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
 
 def packed_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Anchors with the windows of their positives; a place without a positive has a window that is empty."""
-    pdf = pdf.sort_values("n")
+    """Anchors by label, with the windows of their positives; a place without a positive has a window that is empty."""
+    pdf = pdf.sort_values(["label", "n"])
     bounds = np.array([[(-(-LOW * p // OF), HIGH * p // OF) for p in row] + [(1, 0)] * (POSITIVES - len(row)) for row in map(list, map(lambda r: map(int, r), pdf.scores))], np.int64)
     head = (*(pdf[c].to_numpy(np.int64).tobytes() for c in ("n", "id", "label")), bounds[:, :, 0].tobytes(), bounds[:, :, 1].tobytes())
-    rows = [(pdf.dim.iloc[0], pdf.grp.iloc[0], pdf.part.iloc[0], k, *(head if k == 0 else (None,) * 5), cells) for k, cells in chunks(np.stack(pdf.v))]
+    rows = [(pdf.dim.iloc[0], pdf.grp.iloc[0], pdf.part.iloc[0], k, size, *(head if k == 0 else (None,) * 5), cells) for k, size, cells in chunks(pdf)]
     return pd.DataFrame(rows, columns=[c.split()[0] for c in ANCHOR_BLOCKS.split(", ")])
 
 
+def most_of(x: np.ndarray) -> int:
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whole products of all rows of a with all rows of b."""
-    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
+    most = most_of(a) * most_of(b) * a.shape[1]
     if most < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    a, b = a.astype(np.int64), b.astype(np.int64)
     if most < 1 << 63:
         return a @ b.T
     exact = a.astype(object) @ b.astype(object).T
@@ -110,18 +132,6 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return exact.astype(np.int64)
 
 
-def partial_tiles(batches):
-    for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            width = max(CHUNK, -(-r.dim // MOST_CHUNKS))
-            width = min(width, r.dim - r.chunk * width)
-            tile = product(*(np.frombuffer(c, np.int64).reshape(-1, width) for c in (r.cells_a, r.cells)))
-            narrow = bool(np.abs(tile).max(initial=0) < 1 << 31)
-            shipped = tile.astype(np.int32) if narrow else tile
-            row = (r.dim, r.grp, r.part, r.block, r.chunk, narrow, shipped.tobytes(), r.ids, r.labels, r.ns, r.names, r.own, r.low, r.high)
-            yield pd.DataFrame([row], columns=[c.split()[0] for c in PARTIAL.split(", ")])
-
-
 def first_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k first of each row: higher scores, then smaller ids; NONE is no score."""
     k = min(k, scores.shape[1])
@@ -133,42 +143,79 @@ def first_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, n
     return i[keep], j[keep]
 
 
-def added(tile: pd.DataFrame):
-    """(scores, ids, labels, ns, names, own labels, low, high) of a finished tile from its partial ones."""
-    head = tile[tile.chunk == 0].iloc[0]
-    ids, labels, ns, names, own = (np.frombuffer(head[c], np.int64) for c in ("ids", "labels", "ns", "names", "own"))
-    parts = [np.frombuffer(t, np.int32 if narrow else np.int64) for t, narrow in zip(tile.tile, tile.narrow)]
-    if sum(int(np.abs(p).max(initial=0)) for p in parts) >= 1 << 63:
-        raise OverflowError("a score does not fit a long")
-    total = np.zeros(len(ids) * len(ns), np.int64)
-    for p in parts:
-        total += p
-    low, high = (np.frombuffer(head[c], np.int64).reshape(len(ns), POSITIVES) for c in ("low", "high"))
-    return total.reshape(len(ns), len(ids)), ids, labels, ns, names, own, low, high
+def vectors(pdf: pd.DataFrame, rows: int) -> list[np.ndarray]:
+    """The chunks of a block in their order."""
+    pdf = pdf.sort_values("chunk")
+    return [np.frombuffer(c, np.int16 if size == 2 else np.int64).reshape(rows, -1) for c, size in zip(pdf.cells, pdf.bytes)]
+
+
+def added(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """A tile of scores, chunk after chunk."""
+    total, most = np.zeros((len(left[0]), len(right[0])), np.int64), 0
+    for a, b in zip(left, right):
+        part = product(a, b)
+        most += most_of(part)
+        if most >= 1 << 63:
+            raise OverflowError("a score does not fit a long")
+        total += part
+    return total
 
 
-def best_of_label(tile: pd.DataFrame) -> pd.DataFrame:
-    scores, ids, labels, ns, names, own, _, _ = added(tile)
+def reduced(anchors: pd.DataFrame, rows: pd.DataFrame, best, keys: list[str], k: int, skipped) -> pd.DataFrame | None:
+    """The k first rows by keys of what best() gives for each tile of a part and a panel; tiles of skipped(own labels, labels) are left out."""
+    if not len(anchors) or not len(rows):
+        return None
+    head = anchors[anchors.chunk == 0].iloc[0]
+    ns, names, own = (np.frombuffer(head[c], np.int64) for c in ("ns", "names", "own"))
+    low, high = (np.frombuffer(head[c], np.int64).reshape(len(ns), POSITIVES) for c in ("low", "high"))
+    left, found = vectors(anchors, len(ns)), None
+    for _, block in rows.groupby("block"):
+        first = block[block.chunk == 0].iloc[0]
+        ids, labels = (np.frombuffer(first[c], np.int64) for c in ("ids", "labels"))
+        right, new = vectors(block, len(ids)), []
+        for at in range(0, len(ns), ANCHORS):
+            p = slice(at, at + ANCHORS)
+            if not skipped(own[p], labels):
+                new.append(best(added([c[p] for c in left], right), ids, labels, ns[p], names[p], own[p], low[p], high[p]))
+        if new:
+            held = pd.concat(new if found is None else [found, *new])
+            order = [*keys, "score", "vec_id"]
+            found = held.sort_values(order, ascending=[c != "score" for c in order]).groupby(keys).head(k)
+    return found
+
+
+def best_of_label(scores, ids, labels, ns, names, own, low, high) -> pd.DataFrame:
     scores[(own[:, None] != labels) | (names[:, None] == ids)] = NONE
     i, j = first_of(scores, ids, POSITIVES)
     return pd.DataFrame({"n": ns[i], "anchor_id": names[i], "vec_id": ids[j], "score": scores[i, j]})
 
 
-def best_of_others(tile: pd.DataFrame) -> pd.DataFrame:
-    scores, ids, labels, ns, names, own, low, high = added(tile)
+def best_of_others(scores, ids, labels, ns, names, own, low, high) -> pd.DataFrame:
     scores[(own[:, None] == labels) | (names[:, None] == ids)] = NONE
     found = []
     for k in range(POSITIVES):
         inside = np.where((scores >= low[:, k, None]) & (scores <= high[:, k, None]), scores, NONE)
         i, j = first_of(inside, ids, NEGATIVES)
-        found.append(pd.DataFrame({"n": ns[i], "k": k + 1, "vec_id": ids[j], "score": scores[i, j]}))
+        found.append(pd.DataFrame({"n": ns[i], "k": np.int32(k + 1), "vec_id": ids[j], "score": scores[i, j]}))
     return pd.concat(found)
 
 
-def tiles(anchors: DataFrame, blocks: DataFrame, reduced, schema: str) -> DataFrame:
-    """reduced() of each tile of anchors(ANCHOR_BLOCKS, block) and blocks."""
-    partial = anchors.join(blocks, ["dim", "block", "chunk"]).mapInPandas(partial_tiles, PARTIAL)
-    return partial.groupBy("dim", "grp", "part", "block").applyInPandas(reduced, schema)
+def one_label(own: np.ndarray, labels: np.ndarray) -> bool:
+    """Whether all anchors and all rows of a tile have the same label."""
+    return bool((own == own[0]).all() and (labels == own[0]).all())
+
+
+SAME, OTHERS = "n long, anchor_id long, vec_id long, score long", "n long, k int, vec_id long, score long"
+
+
+def of_same(anchors: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    found = reduced(anchors, rows, best_of_label, ["n"], POSITIVES, lambda own, labels: False)
+    return pd.DataFrame(columns=["n", "anchor_id", "vec_id", "score"], dtype="int64") if found is None else found
+
+
+def of_others(anchors: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    found = reduced(anchors, rows, best_of_others, ["n", "k"], NEGATIVES, one_label)
+    return pd.DataFrame(columns=["n", "k", "vec_id", "score"], dtype="int64") if found is None else found
 
 
 def mine(table: DataFrame, label: Column | None = None, anchor: Column | None = None) -> DataFrame:
@@ -178,33 +225,40 @@ def mine(table: DataFrame, label: Column | None = None, anchor: Column | None =
     """
     label = shifted_label(F.col("vec_id"), F.col("label")) if label is None else label
     anchor = F.col("vec_id") % 50 == 0 if anchor is None else anchor
+    made: list[str] = []
     # Numbered once, in a table, so that a row has one number and one block whatever is run again.
-    numbered = written(prepared(table, label, anchor))
-    groups = written(groups_of(numbered))
-    rows = numbered.join(groups, ["dim", "label"]).withColumn("block", (F.col("first") + F.pmod("n", "shards")).cast("int"))
-    blocks = written(rows.groupBy("dim", "block").applyInPandas(packed_rows, BLOCKS))
-
-    chosen = rows.where("anchor").select("n", "id", "label", "v", "dim", "grp", "pure", "first", "shards", "blocks")
-    many = chosen.groupBy("dim", "grp").agg(F.ceil(F.count("*") / ANCHORS).alias("parts"))
-    chosen = written(chosen.join(many, ["dim", "grp"]).withColumn("part", F.pmod(F.xxhash64("n"), F.col("parts")).cast("int")))
-    places = groups.select("dim", "grp", "pure", "first", "shards", "blocks").distinct()
-
-    def against(anchors: DataFrame, numbers: Column) -> DataFrame:
-        held = anchors.groupBy("dim", "grp", "part").applyInPandas(packed_anchors, ANCHOR_BLOCKS)
-        return held.join(places, ["dim", "grp"]).withColumn("block", F.explode(numbers)).drop("pure", "first", "shards", "blocks")
-
-    last = F.col("first") + F.col("shards") - 1
-    own = F.sequence("first", last)
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: ~F.col("pure") | (b < F.col("first")) | (b > last))
+    numbered = written(prepared(table, label, anchor), made)
+    groups = written(groups_of(numbered), made)
+    rows = numbered.join(groups, ["dim", "label"])
+    block = (F.col("first") + F.pmod("n", "shards")).cast("int").alias("block")
+    blocks = rows.select("dim", "grp", block, "wide", "own_parts", "all_parts", "n", "id", "label", "s", "v")
+    blocks = written(blocks.groupBy("dim", "block").applyInPandas(packed_rows, BLOCKS), made).withColumn("panel", F.floor(F.col("block") / F.col("wide")).cast("int"))
+
+    chosen = rows.where("anchor").withColumns({"first_panel": F.floor(F.col("first") / F.col("wide")).cast("int"), "own_last": F.floor((F.col("first") + F.col("shards") - 1) / F.col("wide")).cast("int")})
+    chosen = written(chosen.drop("anchor", "first", "shards", "wide"), made)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def met(anchors: DataFrame, parts: str, panels: list[str], rows: DataFrame, best, schema: str) -> DataFrame:
+        """best() of each part of anchors and each panel from the first to the last of ``panels``."""
+        cells = ["dim", "grp", "part", "panel"]
+        place = anchors.select("dim", "grp", *panels).distinct()
+        held = anchors.withColumn("part", F.pmod(F.xxhash64("n"), F.col(parts)).cast("int")).groupBy("dim", "grp", "part").applyInPandas(packed_anchors, ANCHOR_BLOCKS)
+        held = held.join(place, ["dim", "grp"]).withColumn("panel", F.explode(F.sequence(*panels))).drop(*panels)
+        rows = rows.where(f"{parts} > 0").withColumn("part", each(parts)).drop("wide", "own_parts", "all_parts")
+        return held.groupBy(*cells).cogroup(rows.groupBy(*cells)).applyInPandas(best, schema)
 
     without = chosen.withColumn("scores", F.array().cast("array<long>"))
-    same = tiles(against(without, own), blocks, best_of_label, "n long, anchor_id long, vec_id long, score long")
+    same = met(without, "own_parts", ["first_panel", "own_last"], blocks, of_same, SAME)
     rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "vec_id"))
-    positives = written(same.withColumn("k", rank).where(F.col("k") <= POSITIVES))
+    positives = written(same.withColumn("k", rank).where(F.col("k") <= POSITIVES), made)
 
     wanted = positives.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "score"))), lambda x: x["score"]).alias("scores"))
-    other = tiles(against(chosen.join(wanted, "n"), others), blocks, best_of_others, "n long, k int, vec_id long, score long")
+    # All groups' anchors together, so that a block is sent to few parts.
+    every = chosen.join(wanted, "n").withColumns({"grp": F.lit(""), "first_panel": F.lit(0)})
+    other = met(every, "all_parts", ["first_panel", "last_panel"], blocks.withColumn("grp", F.lit("")), of_others, OTHERS)
     rank = F.row_number().over(Window.partitionBy("n", "k").orderBy(F.desc("score"), "vec_id"))
     negatives = other.withColumn("rank", rank).where(F.col("rank") <= NEGATIVES).select("n", "k", "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
     pairs = positives.select("n", "k", "anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
-    return pairs.join(negatives, ["n", "k"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    found = written(pairs.join(negatives, ["n", "k"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"))
+    removed(table.sparkSession, made)
+    return found

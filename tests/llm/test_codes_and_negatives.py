@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from runsift.llm import hard_negatives, simple8b, token_files, vector_codes
 
@@ -154,6 +155,24 @@ def test_hard_negatives_of_large_components_and_of_no_rows(spark):
         negatives_of(spark, [(50, 1, [2.0**40] * 3), (100, 1, [2.0**40] * 3)])
 
 
+@pytest.mark.parametrize("size", [(1, 1, 1), (64, 70 * 32, 5)])
+def test_hard_negatives_of_many_parts_and_panels(spark, monkeypatch, size):
+    for name, value in zip(("ROWS", "ANCHORS", "PANEL_CELLS", "PART_CELLS", "PANELS"), (16, 2, *size)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rows = [(int(i), int(i % 4 > 2) if i % 2 else int(i % 9), (R.normal(0, 0.3, 70) + (300 if i % 90 == 0 else 0.3)).tolist()) for i in range(400)]
+    got = negatives_of(spark, rows)
+    assert got == plain_negatives(rows) and len(got) > 40
+
+
+def test_scores_stay_in_their_tasks(spark):
+    """4,000 anchors and 4,000 rows have 16 million scores, 64 MB in four bytes each; what is shuffled is far less."""
+    shuffled = lambda: sum(e.totalShuffleWrite() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    table = spark.range(4000).selectExpr("id as vec_id", "id % 3 as label", "array(1.0D, id % 17 / 10.0D, id % 5 / 4.0D) as embedding")
+    before = shuffled()
+    found = hard_negatives.mine(table, anchor=F.lit(True)).count()
+    assert found > 0 and shuffled() - before < 16e6
+
+
 # -- vector codes
 
 
