@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import small_side
+from ..sources.tables import BROADCAST_ROWS, small_side, written
 
 #: Pieces of a text: runs of letters, digits and '_', and runs of other characters that are no white space.
 PIECE = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+"
@@ -54,12 +54,18 @@ def grams(text: Column, sizes: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length(text)), of_size)))
 
 
+def keys(text: Column, sizes: list[int]) -> Column:
+    """The distinct pieces of a text and its parts of the sizes without white space."""
+    parts = [F.regexp_extract_all(text, F.lit(rf"(?=(\S{{{n}}}))"), 1) for n in sizes]
+    return F.array_distinct(F.concat(pieces(text), *parts))
+
+
 def anchors(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(pattern, token): tokens of vocabulary(token, n) of which any text that contains the pattern has one.
+    """(pattern, token): for each pattern with a piece one of the keys() that any text which contains the pattern has.
 
-    A piece inside a pattern is a whole token of such a text.  Any piece, at an end too, is a part of a token of it;
-    the tokens that contain a piece are found by its rarest part of GRAM characters (all of it, if it is
-    shorter).  Taken is the rarest piece inside, or all tokens that contain the longest piece, whichever fewer texts have.
+    A piece inside a pattern is a whole piece of such a text, and GRAM characters of any piece (all of it, if it is
+    shorter) are a part of the text.  Taken is the rarest piece inside or the rarest part of the longest piece, whichever
+    fewer texts have by vocabulary(token, n), where a part counts with all tokens that hold it.
     """
     cut = patterns.select("pattern", pieces(F.col("pattern")).alias("p")).where("size(p) > 0")
     # A piece at an end is inside if white space follows it within the pattern.
@@ -67,41 +73,61 @@ def anchors(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
     inner = F.slice("p", 2 - first, F.greatest(F.size("p") - 2 + first + last, F.lit(0)))
     longest = F.array_max(F.transform("p", lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"]
     cut = cut.select("pattern", inner.alias("inner"), longest.alias("piece"))
+    rarest = lambda x: F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), x))
     within = cut.select("pattern", F.explode(F.array_distinct("inner")).alias("token"))
-    rarest = within.join(vocabulary, "token", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("inside"))
+    inside = within.join(vocabulary, "token", "left").groupBy("pattern").agg(rarest("token").alias("inside"))
 
     parts = cut.select("piece").distinct()
     sizes = F.broadcast(parts.agg(F.collect_set(F.least(F.length("piece"), F.lit(GRAM))).alias("sizes")))
     # The other side of this join is one row of up to GRAM numbers.
-    filed = vocabulary.join(sizes).select("token", "n", F.explode(grams(F.col("token"), F.col("sizes"))).alias("gram"))
+    filed = vocabulary.join(sizes).select("n", F.explode(grams(F.col("token"), F.col("sizes"))).alias("gram"))
     of_piece = parts.select("piece", F.explode(grams(F.col("piece"), F.array(F.least(F.length("piece"), F.lit(GRAM))))).alias("gram"))
-    frequency = filed.groupBy("gram").agg(F.count("*").alias("f"))
-    rare = of_piece.join(frequency, "gram", "left").groupBy("piece").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "gram"))["gram"].alias("gram"))
-    holding = filed.join(rare, "gram").where(F.contains("token", "piece")).select("piece", "token", "n")
-    total = holding.groupBy("piece").agg(F.sum("n").alias("all_n"))
-    choice = cut.join(total, "piece").join(rarest, "pattern", "left").withColumn("by_inside", F.coalesce(F.col("inside.n") <= F.col("all_n"), F.lit(False)))
-    inside = choice.where("by_inside and inside.n > 0").select("pattern", "inside.token")
-    return inside.union(choice.where("not by_inside").select("pattern", "piece").join(holding, "piece").select("pattern", "token"))
+    rare = of_piece.join(filed.groupBy("gram").agg(F.sum("n").alias("n")), "gram", "left").groupBy("piece").agg(rarest("gram").alias("part"))
+    best = F.when(F.col("inside.n") <= F.col("part.n"), F.col("inside.token")).otherwise(F.col("part.gram"))
+    return cut.join(rare, "piece").join(inside, "pattern", "left").select("pattern", best.alias("token"))
+
 
+def sets_of_patterns(texts: DataFrame, wanted: DataFrame, id: str, text: str, most: int) -> DataFrame:
+    """(_id, _set): the numbers of wanted(pattern, _p) that the texts of an id contain, for ids with any.
 
-def containing(texts: DataFrame, patterns: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
+    Each pattern calls for one key.  Up to ``most`` patterns are sent to the texts: a text is compared where it is read,
+    and only numbers are shuffled, in one set an id.  More are joined with the texts' keys by a shuffle, and each text
+    then moves once, to the set of patterns that it is to be compared with.
+    """
+    rows = texts.select(F.col(id).alias("_id"), F.col(text).alias("_text")).where("_id is not null and _text is not null")
+    cut = pieces(F.col("pattern"))
+    sizes = [r.n for r in wanted.select(F.least(F.array_max(F.transform(cut, F.length)), F.lit(GRAM)).alias("n")).where("n > 0").distinct().sort("n").collect()]
+    token = F.explode(keys(F.col("_text"), sizes)).alias("token")
+    # Written, since it is used several times and each use would read all texts again.
+    vocabulary = written(rows.select(F.explode(F.array_distinct(pieces(F.col("_text")))).alias("token")).groupBy("token").agg(F.count("*").alias("n")))
+    called = written(anchors(wanted.select("pattern"), vocabulary).join(wanted, "pattern"))
+    if called.limit(most + 1).count() <= most:
+        found = rows.select("_id", "_text", token).join(F.broadcast(called), "token").where(F.contains("_text", "pattern")).select("_id", "_p")
+    else:
+        asked = rows.select("_id", token).join(called, "token").groupBy("_id").agg(F.collect_set(F.struct("_p", "pattern")).alias("_asked"))
+        found = rows.join(asked, "_id").select("_id", F.explode(F.filter("_asked", lambda x: F.contains("_text", x["pattern"]))).alias("x")).select("_id", "x._p")
+    return found.groupBy("_id").agg(F.collect_set("_p").alias("_set"))
+
+
+def numbered(patterns: DataFrame) -> DataFrame:
+    """(pattern, _p): the distinct patterns with numbers, in a table that fixes them."""
+    return written(patterns.select("pattern").where("pattern is not null").distinct().withColumn("_p", F.monotonically_increasing_id()))
+
+
+def containing(texts: DataFrame, patterns: DataFrame, id: str = "id", text: str = "text", most: int = BROADCAST_ROWS) -> DataFrame:
     """(id, pattern): the distinct patterns(pattern) that the text of an id contains, character for character.
 
     Only texts with a token that a pattern calls for are compared with it.  Nulls, empty patterns and those of
     white space alone are in no text.  Ids that occur more than once have what any of their texts contains.
     """
-    wanted = patterns.select("pattern").where("pattern is not null").distinct()
-    rows = texts.select(F.col(id).alias("_id"), F.col(text).alias("_text")).where("_id is not null and _text is not null")
-    tokens = rows.select("_id", F.explode(F.array_distinct(pieces(F.col("_text")))).alias("token"))
-    vocabulary = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    called = anchors(wanted, vocabulary)
-    candidates = tokens.join(called, "token").select("_id", "pattern").distinct()
-    return rows.join(candidates, "_id").where(F.contains("_text", "pattern")).select(F.col("_id").alias(id), "pattern").distinct()
+    wanted = numbered(patterns)
+    found = sets_of_patterns(texts, wanted, id, text, most).select("_id", F.explode("_set").alias("_p"))
+    return found.join(small_side(wanted), "_p").select(F.col("_id").alias(id), "pattern")
 
 
-def mentions(texts: DataFrame, patterns: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
+def mentions(texts: DataFrame, patterns: DataFrame, id: str = "id", text: str = "text", most: int = BROADCAST_ROWS) -> DataFrame:
     """texts' ids with ``mentioned``: how many of the distinct patterns their text contains; 0 for none."""
-    counted = containing(texts, patterns, id, text).groupBy(id).agg(F.count("*").alias("_m"))
+    counted = sets_of_patterns(texts, numbered(patterns), id, text, most).select(F.col("_id").alias(id), F.size("_set").cast("long").alias("_m"))
     return texts.select(id).join(counted, id, "left").select(id, F.coalesce("_m", F.lit(0)).alias("mentioned"))
 
 
