@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .token_counts import BYTE_SIGNS, LONG_PART, PATTERN, Counter, stable_parts
+from .token_counts import BYTE_SIGNS, LONG_PART, PATTERN, STABLE, Counter
 from .wordbag import Remembered
 
 #: A segment is closed from so many ids on.
@@ -47,55 +47,81 @@ ENDINGS = "!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
 #: White space besides blanks, in ASCII and in all.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 WIDE_SPACES = SPACES + "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: Distinct parts that a worker remembers, twice at most.
-CACHE_LIMIT = 600_000
-#: Bytes, as characters of Latin-1, by their signs in the vocabulary.
-SIGNS = {b: sign for b, sign in BYTE_SIGNS.items() if chr(b) != sign}
+#: Distinct parts behind a blank, and others, that a worker remembers, twice at most.
+CACHE_LIMIT, OTHERS_LIMIT = 500_000, 100_000
+BLANK = BYTE_SIGNS[32]
+#: Letters up to this one are letters in every version of Unicode.
+LAST_LETTER = "\xff"
+
+
+class CharacterSigns(dict):
+    """Code point -> signs of its UTF-8 bytes in the vocabulary, for str.translate."""
+
+    def __missing__(self, code: int) -> str:
+        signs = self[code] = "".join([BYTE_SIGNS[b] for b in chr(code).encode()])
+        return signs
+
+
+SIGNS = CharacterSigns()
 
 
 class Encoder(Counter):
     """Ids of whole texts as little-endian unsigned 32-bit; made once a worker.
 
-    A text is cut where a token always begins, and distinct parts are encoded once, as for counting.
+    A text is cut where a token always begins, and distinct parts are encoded once, as for counting.  Parts behind a
+    blank, which most are, are remembered without it.
     """
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.known = Remembered(self.part, CACHE_LIMIT, LONG_PART)
-        self.matches = Remembered(self.match, CACHE_LIMIT, LONG_PART)
+        self.behind = Remembered(self.behind_blank, CACHE_LIMIT, LONG_PART)
+        self.known = Remembered(self.part, OTHERS_LIMIT, LONG_PART)
+        self.matches = Remembered(self.match, OTHERS_LIMIT, LONG_PART)
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # what is met again is remembered here
 
     def match(self, letters: str) -> bytes:
         """Ids of one match of the pattern."""
-        signs = letters.replace(" ", SIGNS[32]) if letters.isascii() and letters.isprintable() else letters.encode().decode("latin-1").translate(SIGNS)
+        return self.merged(letters.translate(SIGNS))
+
+    def merged(self, signs: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
 
+    def behind_blank(self, part: str) -> bytes:
+        """Ids of a blank and a part that begins with another sign."""
+        got = self.by_match(part, BLANK, self.behind)
+        return self.whole(" " + part) if got is None else got
+
     def part(self, part: str) -> bytes:
-        if self.cut_by_pattern and part.isascii() and len(part) < LONG_PART and is_word(part):
-            return self.match(part)
+        got = self.by_match(part, "", self.known)
+        return self.whole(part) if got is None else got
+
+    def by_match(self, part: str, blank: str, same: Remembered) -> bytes | None:
+        """Ids of a part whose matches are found by its letters or lines, behind the sign ``blank``; same: remembers such parts; None for others."""
+        if not self.cut_by_pattern or len(part) >= LONG_PART:
+            return None
+        word = part.rstrip(ENDINGS)
+        if word.isalpha() and max(word) <= LAST_LETTER:
+            if len(word) == len(part):
+                return self.merged(blank + (part if part.isascii() else part.translate(SIGNS)))
+            return None if "<" in part else same[word] + self.matches[part[len(word) :]]
+        lines = part.split("\n")
+        if len(lines) > 1 and all(lines) and PLAIN.fullmatch(part):  # a line feed between two signs that are no white space is a match by itself
+            return self.matches["\n"].join([same[lines[0]], *map(self.known.__getitem__, lines[1:])])
+        return None
+
+    def whole(self, part: str) -> bytes:
         if self.cut_by_pattern and PLAIN.fullmatch(part):
-            word = part.rstrip(ENDINGS)
-            if is_word(word):  # one match of the pattern, and one for all signs behind it
-                return self.known[word] + self.matches[part[len(word) :]] if len(word) < len(part) else self.match(part)
-            lines = part.split("\n")
-            if len(lines) > 1 and all(lines):  # a line feed between two signs that are no white space is a match by itself
-                return self.matches["\n"].join([self.known[line] for line in lines])
             return b"".join(map(self.matches.__getitem__, PATTERN.findall(part)))
         if len(part) > self.window:
             return self.spliced_ids(part).astype("<u4").tobytes()
         return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not text or has_odd_space(text):
-            return b"".join(map(self.known.__getitem__, stable_parts(text)))
-        first, *rest = text.split(" ")
-        return self.known[first] + b"".join([self.known[" " + p] for p in rest])
-
-
-def is_word(part: str) -> bool:
-    """Whether a part is two letters or more, or letters behind a blank."""
-    return part[1:].isalpha() and (part[0] == " " or part[0].isalpha())
+        if not text:
+            return b""
+        first, *rest = STABLE.split(text) if has_odd_space(text) else text.split(" ")
+        return self.known[first] + b"".join(map(self.behind.__getitem__, rest))
 
 
 def has_odd_space(text: str) -> bool:

@@ -101,6 +101,26 @@ def test_token_files_hold_the_ids_of_the_library(spark, tmp_path, monkeypatch):
     assert all(bytes(r.ids)[-4:] == (2).to_bytes(4, "little") for r in stored.collect())
 
 
+def test_common_parts_are_told_by_their_letters_and_remembered_without_their_blank(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    encoder = token_files.Encoder(P.path("byte_bpe_50k.json"))
+    bits = ["a", "the", "word", "é", "ß", "µ", "Ā", "λ", "漢", "12", "²", ".", ",", "'s", "'", "<", "<|endoftext|>", "|>", "!?", "\n", "\t", " ", "  ", "\x85", "\xa0", "😀", "x" * 70]
+    r = random.Random(11)
+    for n in range(3000):
+        text = "".join(r.choice(bits if n % 2 else [*bits[:6], " ", " ", ".", "\n"]) for _ in range(r.randrange(25)))
+        assert encoder.encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+    class Unused:
+        def fullmatch(self, part):
+            raise AssertionError(f"a regular expression for {part!r}")
+
+    fresh = token_files.Encoder(P.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(token_files, "PLAIN", Unused())
+    text = "Words été, Ärger; words plain été!"
+    assert fresh.encode(text) == np.array(fresh.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert {"été", "été,", "plain"} <= set(fresh.behind) and not set(fresh.known) - {"Words"}
+
+
 def test_token_files_of_no_rows_and_of_one_text_in_most_rows(spark, tmp_path):
     P = pytest.importorskip("public_tokenizers")
     path = P.path("byte_bpe_50k.json")
